@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, trim_blanks
-from ..session import read
+from ..session import broadcast_if_small, read, stage
+from .linking import link_names
 from .pairs import pair_counts
 from .terms import mark_terms, term_counts
 
@@ -41,6 +42,35 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return x.select("species_name", F.col("occurrences").alias("n_records"), F.col("records").alias("n_plots"), "mark")
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """The checklist's and the synonyms' names as (name, kind, entry)."""
+    listed = read(spark, d, "species_checklist")
+    kinds = (("species_name", "scientific"), ("species_code", "code"), ("local_name", "local"))
+    parts = [listed.select(F.col(c).alias("name"), F.lit(k).alias("kind"), F.col("species_id").alias("entry")) for c, k in kinds]
+    syn = read(spark, d, "species_synonyms")
+    parts.append(syn.select(F.col("synonym").alias("name"), F.lit("scientific").alias("kind"), F.col("species_id").alias("entry")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """(name, entry, slips, jaccard) of every distinct spelling that is neither blank nor a checklist name as it is."""
+    veg = read(spark, d, "veg_long_csv").select(F.col("species_name").alias("name"))
+    listed = read(spark, d, "species_checklist").select(F.col("species_name").alias("name"))
+    typed = veg.where(trim_blanks(F.col("name")) != "").distinct().join(F.broadcast(listed), "name", "left_anti")
+    return link_names(typed, _entries(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    linked = stage(_linked(spark, d).select(F.col("name").alias("species_name"), F.coalesce("entry", F.lit(0)).cast("long").alias("species_id")), "p6")
+    veg = read(spark, d, "veg_long_csv").select("record_id", "species_name")
+    return veg.join(broadcast_if_small(linked, linked.count(), 120), "species_name").select("record_id", "species_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its entry and similarity; unmatched ones with entry null."""
+    return _linked(spark, d).select("name", "entry", "slips", F.round("jaccard", 6).alias("jaccard"))
+
+
 _NAMES = """
 WITH t AS (
   SELECT trim(regexp_replace(lower(species_name), '[ \\t\u00a0]+', ' ', 'g')) AS name,
@@ -59,7 +89,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
