@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, trim_blanks
 from ..session import broadcast_if_small, read, stage
+from .bpe import encode_texts
 from .linking import link_names
 from .pairs import pair_counts
 from .terms import mark_terms, term_counts
@@ -71,6 +72,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).select("name", "entry", "slips", F.round("jaccard", 6).alias("jaccard"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(read(spark, d, "documents"), "doc_id", "text")
+
+
 _NAMES = """
 WITH t AS (
   SELECT trim(regexp_replace(lower(species_name), '[ \\t\u00a0]+', ' ', 'g')) AS name,
@@ -89,7 +94,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
