@@ -1,8 +1,10 @@
 """How often two items occur in one basket, and how much more often than chance.
 
 Every pair is one 64-bit code (lower id in the upper half). Tasks write the codes of their baskets into a buffer, sort it and
-count runs, so that what leaves a task is a series of sorted runs (code, count). The runs are shuffled by code and sorted by
-Spark's external sorter, which spills sorted runs and merges them; one pass over the merged order then adds up equal codes.
+count runs; what leaves a task is sorted runs, cut into chunks of packed differences (about a byte a pair) that carry their
+first code. Chunks are shuffled by a hash of the code and sorted by first code, externally if need be. The reducer is a multiway
+merge: codes below the first code of the next chunk are final, so it holds one chunk of each run at a time, adds up equal
+codes and passes them on.
 
 A basket is never one task's affair: one with more than BLOCK items is cut into blocks, and pairs of blocks are separate rows.
 """
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, dense_ids, shuffle_partitions, stage
 
 BLOCK = 512
-#: Codes in a task's buffer before it is sorted (8 bytes each).
-RUN = 1 << 22
+#: Codes in a task's buffer before it is sorted (8 bytes each), in a chunk of a run, and in the reducer before it passes on.
+RUN, CHUNK, PENDING = 1 << 23, 1 << 14, 1 << 20
 _TRIANGLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,16 +47,45 @@ def _batch(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(counts, pa.int64())})
 
 
-def _flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    codes = np.concatenate(parts)
-    parts.clear()
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative integers as byte planes, compressed: planes of zeros cost next to nothing."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel().astype(np.int64)
+
+
+def _part(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The reducer of a code: by its lower id and the upper bits of the other, so that neighbours stay together."""
+    x = ((codes >> 12) & 0xFFFFF) + (codes >> 32) * 0x9E3779B1
+    return ((x ^ (x >> 15)) * 0x85EBCA6B & 0x7FFFFFFF) % parts
+
+
+def _flush(held: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    codes = np.concatenate(held)
+    held.clear()
     codes.sort()
     codes, counts = run_length(codes)
-    for i in range(0, len(codes), 1 << 18):
-        yield _batch(codes[i : i + (1 << 18)], counts[i : i + (1 << 18)])
+    part = _part(codes, parts)
+    order = np.argsort(part, kind="stable")
+    codes, counts, part = codes[order], counts[order], part[order]
+    ends = np.r_[np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    rows, start = [], 0
+    for end in ends:
+        for i in range(start, end, CHUNK):
+            c = codes[i : min(i + CHUNK, end)]
+            rows.append((int(part[start]), int(c[0]), len(c), pack(np.diff(c)), pack(counts[i : i + len(c)] - 1)))
+        start = end
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+        ["part", "first", "size", "codes", "counts"],
+    )
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     parts: list[np.ndarray] = []
     held = 0
     for b in batches:
@@ -72,24 +103,42 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((x.astype(np.int64) << 32) | y)
             held += len(x)
             if held >= RUN:
-                yield from _flush(parts)
+                yield from _flush(parts, n_parts)
                 held = 0
     if parts:
-        yield from _flush(parts)
+        yield from _flush(parts, n_parts)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up equal neighbours of the sorted order, across batches too."""
-    kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Merges the chunks of one reducer, which come in the order of part and first code."""
+    codes, counts, size, now = [], [], 0, None
+
+    def settle(before: int | None) -> Iterator[pa.RecordBatch]:
+        nonlocal codes, counts, size
+        if not size:
+            return
+        c, n = np.concatenate(codes), np.concatenate(counts)
+        order = np.argsort(c, kind="stable")
+        c, n = run_length(c[order], n[order])
+        cut = len(c) if before is None else int(np.searchsorted(c, before))
+        codes, counts, size = [c[cut:]], [n[cut:]], len(c) - cut
+        for i in range(0, cut, 1 << 18):
+            yield _batch(c[i : min(i + (1 << 18), cut)], n[i : min(i + (1 << 18), cut)])
+
+    limit = PENDING
     for b in batches:
-        codes = np.concatenate([kept[0], b.column("code").to_numpy()])
-        counts = np.concatenate([kept[1], b.column("n").to_numpy()])
-        codes, counts = run_length(codes, counts)
-        if len(codes) > 1:
-            yield _batch(codes[:-1], counts[:-1])
-        kept = codes[-1:], counts[-1:]
-    if len(kept[0]):
-        yield _batch(*kept)
+        x = b.to_pydict()
+        for part, first, n, packed, counted in zip(x["part"], x["first"], x["size"], x["codes"], x["counts"], strict=True):
+            if part != now:
+                yield from settle(None)
+                now, limit = part, PENDING
+            elif size > limit:
+                yield from settle(first)
+                limit = max(PENDING, 2 * size)
+            codes.append(np.cumsum(np.r_[first, unpack(packed, n - 1)]) if n > 1 else np.array([first]))
+            counts.append(unpack(counted, n) + 1)
+            size += n
+    yield from settle(None)
 
 
 def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_lift: float | None = None) -> DataFrame:
@@ -138,9 +187,8 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_li
         F.col("l.items").alias("items"),
         F.when(F.col("l.block") < F.col("r.block"), F.col("r.items")).otherwise(F.array().cast("array<int>")).alias("others"),
     ).repartition(n)
-    schema = "code long, n long"
-    runs = small.unionByName(big).mapInArrow(_emit, schema)
-    merged = runs.repartition(n, "code").sortWithinPartitions("code").mapInArrow(_merge, schema)
+    runs = small.unionByName(big).mapInArrow(lambda x: _emit(x, 8 * n), "part int, first long, size int, codes binary, counts binary")
+    merged = runs.repartition(n, "part").sortWithinPartitions("part", "first").mapInArrow(_merge, "code long, n long")
     low = merged.where(F.col("n") >= min_pair).select(
         F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"),
         F.col("n").alias("n_ab"),
