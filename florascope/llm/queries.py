@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_name, trim_blanks
 from ..session import broadcast_if_small, read, stage
 from .bpe import encode_texts
+from .leakage import leaked_passages
 from .linking import link_names
 from .pairs import pair_counts
 from .terms import mark_terms, term_counts
@@ -76,6 +77,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(read(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with the items they leak and how much of each."""
+    return leaked_passages(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).select("doc_id", "item_id")
+
+
 _NAMES = """
 WITH t AS (
   SELECT trim(regexp_replace(lower(species_name), '[ \\t\u00a0]+', ' ', 'g')) AS name,
@@ -94,7 +104,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
@@ -102,4 +112,10 @@ SQL = {
                / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE))), 6) AS log_odds FROM x""",
     "p5_found": _NAMES + f"y AS (SELECT name AS species_name, {_MARK} AS mark FROM tokens, total GROUP BY name) SELECT * FROM y WHERE mark IS NOT NULL",
     "p5_counts": _NAMES + f"y AS (SELECT name AS species_name, count(*) AS n_records, count(DISTINCT plot) AS n_plots, {_MARK} AS mark FROM tokens, total GROUP BY name) SELECT * FROM y",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(item_text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d)),
+ig AS (SELECT item_id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
