@@ -11,6 +11,7 @@ from .bpe import encode_texts
 from .leakage import leaked_passages
 from .linking import link_names
 from .pairs import pair_counts
+from .pii import find_personal, mask_personal
 from .terms import mark_terms, term_counts
 
 
@@ -86,6 +87,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its personal items replaced by placeholders."""
+    return mask_personal(read(spark, d, "documents"), "doc_id", "text")
+
+
 _NAMES = """
 WITH t AS (
   SELECT trim(regexp_replace(lower(species_name), '[ \\t\u00a0]+', ' ', 'g')) AS name,
@@ -104,7 +114,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
