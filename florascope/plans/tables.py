@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANK
+from ..operators.fill import Hub, propagate_fill
 from ..operators.nearby import containing_regions, near_pairs
+from ..operators.units import infer_units, missing_temperature
 from ..session import read
 
 WINDOW = "longitude between 88.7 and 92.2 and latitude between 26.7 and 28.4 and not isnan(longitude) and not isnan(latitude)"
@@ -19,7 +22,62 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(soil).where("key_a is not null")
 
 
-QUERIES = {"p1_found": p1_found}
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    layers = read(spark, d, "climate_layers").select("climate_layer", F.col("description").alias("layer_text"))
+    env = read(spark, d, "env_master_csv").join(F.broadcast(layers), "climate_layer", "left")
+    return infer_units(
+        env, "env_id", "bio1", ["bio1_unit", "remarks"], "climate_layer", "layer_text", ["elevation", "latitude", "bio12"], "elevation"
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).where("unit <> 'C'").select("env_id", F.col("unit").alias("unit_code"))
+
+
+def p3_celsius(spark: SparkSession, d: str) -> DataFrame:
+    """Every value in degrees Celsius with how its unit is known; 'review' where no unit is sure."""
+    return _units(spark, d).select("env_id", "unit", F.round("celsius", 4).alias("celsius"), "basis", F.round("confidence", 6).alias("confidence"))
+
+
+def soil_key(c: Column) -> Column:
+    """A class name without case, blanks and underscores."""
+    return F.regexp_replace(F.lower(c), f"(?:{BLANK}|_)+", "")
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    env = read(spark, d, "env_master_csv").drop("unit", "celsius")
+    classes = read(spark, d, "soil_map_vector").select("soil_type").distinct().select(soil_key(F.col("soil_type")).alias("soil_key"), F.col("soil_type").alias("class"))
+    classes = F.broadcast(classes.groupBy("soil_key").agg(F.min("class").alias("class")))
+    celsius = _units(spark, d).select("env_id", "celsius")
+    rows = env.withColumn("soil_key", soil_key(F.col("soil_type"))).join(classes, "soil_key", "left").join(celsius, "env_id", "left")
+    rows = rows.select("env_id", "plot_id", "longitude", "latitude", "dzongkhag", "geog_name", "climate_layer", "class", "celsius", "elevation", "bio1")
+    high = F.when((F.col("elevation") >= 90) & (F.col("elevation") <= 7600) & ~F.isnan("elevation"), F.col("elevation"))
+    # A bio1 whose unit is under review isn't missing: it stands as 'observed' and takes no part in averages.
+    temp = F.when(~missing_temperature(F.col("bio1")), F.coalesce("celsius", F.lit(float("nan"))))
+    sane = lambda c: F.when(F.col(c).between(-180, 180) & ~F.isnan(c), F.col(c))
+    place = lambda size: F.concat_ws("/", F.floor(sane("longitude") / size), F.floor(sane("latitude") / size))
+    at = lambda size: F.when(sane("longitude").isNotNull() & sane("latitude").isNotNull(), place(size))
+    plot = F.trim("plot_id")
+    band = F.floor(high / 100)
+    every = ("elevation", "bio1", "soil_type")
+    hubs = [
+        Hub("plot", F.when(plot != "", plot), every, 1000.0), Hub("near", at(0.005), every, 60.0), Hub("around", at(0.03), ("soil_type", "elevation"), 6.0),
+        Hub("band", F.concat_ws("/", "dzongkhag", band), ("bio1",), 20.0), Hub("height", band, ("bio1",), 2.0),
+        Hub("block", F.col("geog_name"), every, 0.5), Hub("district", F.col("dzongkhag"), every, 0.05),
+    ]
+    return propagate_fill(rows, "env_id", {"elevation": high, "bio1": temp}, {"soil_type": F.col("class")}, hubs)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).where("was_filled").select("env_id", F.col("field").alias("field_name"))
+
+
+def p2_filled(spark: SparkSession, d: str) -> DataFrame:
+    """The complete fields: one row a record and field, filled ones marked; bio1 in degrees Celsius."""
+    return _filled(spark, d).select("env_id", F.col("field").alias("field_name"), F.round("value", 4).alias("value"), "label", "was_filled")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_filled": p2_filled, "p3_found": p3_found, "p3_celsius": p3_celsius}
 SQL = {
     "p1_found": r"""
 WITH p AS (SELECT DISTINCT plot_id, longitude AS x, latitude AS y FROM plot_points_gpkg
@@ -35,4 +93,10 @@ SELECT DISTINCT 'near' AS relation, a.plot_id AS key_a, b.plot_id AS key_b FROM
 WHERE 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin((radians(b.y) - radians(a.y)) / 2), 2)
       + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin((radians(b.x) - radians(a.x)) / 2), 2))) <= 50
 UNION ALL SELECT DISTINCT 'soil', plot_id, unit_id FROM s""",
+    "p2_found": r"""
+WITH k AS (SELECT DISTINCT regexp_replace(lower(soil_type), '[ \t\x{a0}_]+', '', 'g') AS k FROM soil_map_vector),
+e AS (SELECT env_id, elevation AS h, bio1 AS t, regexp_replace(lower(soil_type), '[ \t\x{a0}_]+', '', 'g') AS s FROM env_master_csv)
+SELECT env_id, 'elevation' AS field_name FROM e WHERE h IS NULL OR isnan(h) OR h < 90 OR h > 7600
+UNION ALL SELECT env_id, 'bio1' FROM e WHERE t IS NULL OR isnan(t) OR NOT (t BETWEEN -300 AND 450 OR t BETWEEN 2431.5 AND 3181.5)
+UNION ALL SELECT env_id, 'soil_type' FROM e WHERE s IS NULL OR s NOT IN (SELECT k FROM k)""",
 }
