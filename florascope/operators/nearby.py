@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, stage
+from ..session import BROADCAST_BYTES, broadcast_if_small, stage
 
 EARTH_M = 6_371_008.8
 #: A cell with more positions than this is split: its positions are spread over salts, those they meet are repeated.
@@ -161,12 +161,11 @@ def containing_regions(points: DataFrame, lon: str, lat: str, regions: DataFrame
     fits = x.between(-180, 180) & y.between(-90, 90) & ~F.isnan(x) & ~F.isnan(y)
     codes = [_code(v, F.floor((x + 180) / (360 / 2**v)), F.floor((y + 90) / (360 / 2**v))) for v in levels]
     placed = points.where(fits).withColumn("_cell", F.explode(F.array(*codes)))
-    inner = cells.where("interior").select(F.col("cell").alias("_cell"), F.col("region").alias(region_col))
-    border = cells.where("not interior").select(F.col("cell").alias("_cell"), F.col("region").alias(region_col), F.col("edges").alias("_edges"))
-    if n * 64 + edges * 8 <= 64 << 20:
-        inner, border = F.broadcast(inner), F.broadcast(border)
+    cover_ = cells.select(F.col("cell").alias("_cell"), F.col("region").alias(region_col), F.col("interior").alias("_interior"), F.col("edges").alias("_edges"))
+    if n * 64 + edges * 8 <= BROADCAST_BYTES:
+        cover_ = F.broadcast(cover_)
     e = lambda i, k: F.element_at("_edges", i * 4 + k)
     crossed = lambda i: ((e(i, 2) > y) != (e(i, 4) > y)) & (x < (e(i, 3) - e(i, 1)) * (y - e(i, 2)) / (e(i, 4) - e(i, 2)) + e(i, 1))
     hits = F.size(F.filter(F.sequence(F.lit(0), (F.size("_edges") / 4).cast("int") - 1), lambda i: F.when((e(i, 2) > y) != (e(i, 4) > y), crossed(i)).otherwise(False)))
-    tested = placed.join(border, "_cell").where(hits % 2 == 1).drop("_cell", "_edges")
-    return placed.join(inner, "_cell").drop("_cell").unionByName(tested)
+    # Interior cells accept at once; the edges of border cells alone are looked at.
+    return placed.join(cover_, "_cell").where(F.when(F.col("_interior"), True).otherwise(hits % 2 == 1)).drop("_cell", "_interior", "_edges")

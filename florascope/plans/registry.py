@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tables
+from . import community, landscape, tables
 
-QUERIES: dict = {**tables.QUERIES}
-SQL: dict = {**tables.SQL}
+QUERIES: dict = {**tables.QUERIES, **community.QUERIES, **landscape.QUERIES}
+SQL: dict = {**tables.SQL, **community.SQL, **landscape.SQL}
