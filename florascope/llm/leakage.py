@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, dense_ids, stage
+from ..session import broadcast_if_small, dense_ids, spread, stage
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
 
 def postings(docs: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
     """(term, doc, pos) of each occurrence of a term of vocabulary (item, id) in docs (doc, text): the stored index."""
-    each = docs.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    each = spread(docs).select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
     each = each.select("doc", "pos", F.lower("word").alias("word"))
     return each.join(broadcast_if_small(vocabulary, n_terms, 60), "word").select("term", "doc", "pos")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import BROADCAST_BYTES, broadcast_if_small
+from ..session import BROADCAST_BYTES, broadcast_if_small, stage
 
 #: Words between or after the names that leave the entry as it is; at the first of CUT everything after it is dropped too.
 DOUBT = frozenset({"cf", "aff", "nr", "near", "affinis", "confer"})
@@ -111,7 +111,7 @@ def link_names(names: DataFrame, reference: DataFrame, slips: int = 2) -> DataFr
     reference rows do no harm; an empty reference leaves every name unmatched.
     """
     distinct = names.select("name").dropna().distinct()
-    parsed = distinct.mapInPandas(_parse, KEYS).dropDuplicates(["name", "key", "kind"])
+    parsed = stage(distinct.mapInPandas(_parse, KEYS), "keys")
     ref = reference.select("name", "kind", F.col("entry").cast("long").alias("entry")).dropna().mapInPandas(
         _reference, T.StructType([*KEYS.fields[1:], T.StructField("entry", T.LongType())])
     )
@@ -119,13 +119,14 @@ def link_names(names: DataFrame, reference: DataFrame, slips: int = 2) -> DataFr
     ref = ref.where("kind <> 'short'").unionByName(
         short.where("entry = e2").select("key", F.lit("short").alias("kind"), "grams", "entry")
     ).dropDuplicates(["key", "kind", "entry"])
-    spark = names.sparkSession
+    ref = stage(ref, "reference")
     n_ref = ref.count()
     small_ref = n_ref * 400 <= BROADCAST_BYTES
     exact = parsed.join(F.broadcast(ref.drop("grams")) if small_ref else ref.drop("grams"), ["key", "kind"]).select(
         "name", "entry", F.lit(0).alias("slips"), F.lit(1.0).alias("jaccard")
     )
-    rest = parsed.where("kind <> 'code'").join(exact.select("name").distinct(), "name", "left_anti")
+    exact = stage(exact, "exact")
+    rest = stage(parsed.where("kind <> 'code'").join(exact.select("name").distinct(), "name", "left_anti"), "rest")
     q_keys = rest.select("key", "kind", "grams").dropDuplicates(["key", "kind"])
     r_keys = ref.where("kind <> 'code'")
     freq = q_keys.select("grams").unionByName(r_keys.select("grams")).select(F.explode("grams").alias("gram")).groupBy("gram").agg(

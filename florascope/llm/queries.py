@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, trim_blanks
-from ..session import broadcast_if_small, read, stage
+from ..session import broadcast_if_small, read, spread, stage
 from .bpe import encode_texts
 from .leakage import leaked_passages
 from .linking import link_names
@@ -16,7 +16,7 @@ from .terms import mark_terms, term_counts
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    veg = read(spark, d, "veg_long_csv")
+    veg = spread(read(spark, d, "veg_long_csv").select("species_name", "plot_id"))
     return veg.select(clean_name(F.col("species_name")).alias("name"), trim_blanks(F.col("plot_id")).alias("plot")).dropna()
 
 
