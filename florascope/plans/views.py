@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import trim_blanks
 from ..operators.clean import clean_species, to_number
 from ..operators.diversity import abundance, alpha_diversity, stratum_richness
-from ..session import read
+from ..session import read, spread
 
 B = "[ \\t\u00a0]"
 _TITLE = "array_to_string(list_transform(regexp_extract_all(lower({0}), '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), '')"
@@ -25,7 +25,8 @@ def sql_space(x: str) -> str:
 
 def veg(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned inventory: records with a plot and a species; strata in their four spellings, numbers or null."""
-    v = read(spark, d, "veg_long_csv")
+    cols = ["record_id", "plot_id", "species_name", "stratum", "abundance", "longitude", "latitude", "forest_type"]
+    v = spread(read(spark, d, "veg_long_csv").select(*cols))
     s = F.lower(F.trim("stratum"))
     stratum = F.when(s.startswith("tree"), "Trees").when(s.startswith("shrub"), "Shrubs").when(s.startswith("herb"), "Herbs").when(s.startswith("regen"), "Regeneration")
     return v.select(

@@ -64,6 +64,18 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan with cheap projections, over at least as many partitions as there are cores.
+
+    A table of one small file is one partition, which leaves all cores but one idle in costly projections. Tables with enough
+    partitions, as all large ones, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, width: int) -> DataFrame:
     """A broadcast hint when rows times width (bytes a row, at most) stays below BROADCAST_BYTES; else df, for a shuffled join."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
