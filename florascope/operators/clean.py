@@ -54,7 +54,9 @@ def collapse_all(df: DataFrame) -> DataFrame:
 def title_case(c: Column) -> Column:
     """Upper case for the first letter of every run of letters, lower case for the rest (initcap only restarts at spaces)."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    # Letters and spaces alone, as in nearly all names, need no more than initcap.
+    plain = c.rlike(r"^[\p{L} ]*$")
+    return F.when(plain, F.initcap(c)).otherwise(F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), ""))
 
 
 def clean_species(c: Column) -> Column:
