@@ -78,7 +78,42 @@ def p2_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_filled": p2_filled, "p3_found": p3_found, "p3_celsius": p3_celsius}
+
+
+def _unit(x: str) -> str:
+    """Unit told by a text, as SQL."""
+    x = f"lower({x})"
+    word = lambda w: f"(^|[^a-z]){w}([^a-z]|$)"
+    k = f"regexp_matches({x}, 'kelvin|absolute temp|{word('d?k')}')"
+    f = f"regexp_matches({x}, 'fahrenheit|degf|{word('f')}')"
+    c = f"regexp_matches({x}, 'celsius|centigrad|degc|{word('d?c')}')"
+    ten = f"regexp_matches({x}, 'tenth|zehntel|deci-|x ?10|[*] ?10|times (ten|10)|0[.,]1|/ ?10|{word('d[ck]')}')"
+    return (
+        f"CASE WHEN {k} AND NOT {f} AND NOT {c} THEN CASE WHEN {ten} THEN 'K10' ELSE 'K' END "
+        f"WHEN {c} AND NOT {f} AND NOT {k} THEN CASE WHEN {ten} THEN 'C10' ELSE 'C' END WHEN {f} AND NOT {c} AND NOT {k} THEN 'F' END"
+    )
+
+
+def _celsius(u: str, v: str = "v") -> str:
+    return f"CASE {u} WHEN 'C' THEN {v} WHEN 'C10' THEN {v} / 10 WHEN 'F' THEN ({v} - 32) * 5 / 9 WHEN 'K' THEN {v} - 273.15::DOUBLE WHEN 'K10' THEN {v} / 10 - 273.15::DOUBLE END"
+
+
+def _fits(u: str) -> str:
+    return f"CASE {u} WHEN 'C' THEN v BETWEEN -30 AND 45 WHEN 'C10' THEN v BETWEEN -300 AND 450 WHEN 'F' THEN v BETWEEN -22 AND 113 WHEN 'K' THEN v BETWEEN 243.15 AND 318.15 WHEN 'K10' THEN v BETWEEN 2431.5 AND 3181.5 END"
+
+
+# The silent sources' units by another way than the forest: the unit whose readings lie closest to the line of the told ones on height.
+_P3 = f"""
+WITH r AS (SELECT env_id, bio1 AS v, CASE WHEN NOT isnan(elevation) THEN elevation END AS h, climate_layer AS layer, {_unit('bio1_unit')} AS a, {_unit('remarks')} AS b, {_unit('description')} AS l
+  FROM env_master_csv LEFT JOIN climate_layers USING (climate_layer) WHERE bio1 BETWEEN -300 AND 450 OR bio1 BETWEEN 2431.5 AND 3181.5),
+t AS (SELECT *, CASE WHEN {_fits('a')} THEN a WHEN {_fits('b')} THEN b WHEN {_fits('l')} THEN l END AS told FROM r),
+line AS (SELECT regr_slope(c, h) AS s, regr_intercept(c, h) AS i, avg(c) AS m FROM (SELECT {_celsius('told')} AS c, h FROM t WHERE told IS NOT NULL)),
+g AS (SELECT layer, u, avg(least(50.0::DOUBLE, abs({_celsius('u')} - coalesce(i + s * h, m)))) AS off FROM t, line, (SELECT unnest(['C', 'C10', 'F', 'K', 'K10']) AS u) WHERE told IS NULL GROUP BY 1, 2),
+best AS (SELECT layer, arg_min(u, off) AS u FROM g GROUP BY 1)
+SELECT env_id, coalesce(told, best.u) AS unit_code FROM t LEFT JOIN best USING (layer) WHERE coalesce(told, best.u) <> 'C'"""
+
 SQL = {
+    "p3_found": _P3,
     "p1_found": r"""
 WITH p AS (SELECT DISTINCT plot_id, longitude AS x, latitude AS y FROM plot_points_gpkg
            WHERE longitude BETWEEN 88.7 AND 92.2 AND latitude BETWEEN 26.7 AND 28.4 AND plot_id IS NOT NULL),
