@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_p, normal_p, t_p
+from ..session import stage
 from .ranks import average_ranks, bh_adjust
 
 
 def _pooled(df: DataFrame, group: str, value: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Ranks of the rows of groups with at least `least` rows, and one row with n, k and the tie term sum(t^3 - t)."""
     x = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    # Read several times below: what led to it isn't computed again.
+    x = stage(x, "ranked")
     big = x.groupBy("g").count().where(F.col("count") >= least).select("g")
     x = x.join(big, "g", "left_semi")
     ties = x.groupBy("v").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
@@ -79,6 +82,7 @@ def ols_band(df: DataFrame, x: str, y: str, at: list[float]) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho, p): correlation of average ranks over rows where both are there; null where one side is constant."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    d = stage(d, "ranked")
     r = average_ranks(average_ranks(d, "x", "rx"), "y", "ry")
     sx, sy = F.stddev_pop("rx"), F.stddev_pop("ry")
     out = r.agg(F.count("*").alias("n"), F.when((sx > 0) & (sy > 0), F.try_divide(F.covar_pop("rx", "ry"), sx * sy)).alias("rho"))

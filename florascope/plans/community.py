@@ -403,7 +403,7 @@ DG AS (SELECT species_name, count(*) AS degree, sum(weight)::BIGINT AS strength
 
 
 def _frequent(spark, d) -> DataFrame:
-    p = v.presence(spark, d)
+    p = stage(v.presence(spark, d), "presence")
     return p.join(network.frequent_species(p).select("species_name"), "species_name", "left_semi")
 
 
@@ -469,7 +469,7 @@ _SC = _ALPHA + ', A AS (SELECT AL.*, SR.* EXCLUDE (plot_id), E.elevation, E.fore
 
 def _sci(spark, d) -> DataFrame:
     a = v.alpha(spark, d).join(v.strata(spark, d), "plot_id", "left").join(v.env(spark, d), "plot_id", "left")
-    return diversity.sci_index(a, _COMP)
+    return diversity.sci_index(stage(a, "alpha"), _COMP)
 
 
 @query(_SC + "SELECT plot_id, round(z_0, 6) AS z_richness, round(z_1, 6) AS z_shannon, round(z_2, 6) AS z_simpson FROM SCI")
