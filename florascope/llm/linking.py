@@ -111,6 +111,7 @@ def link_names(names: DataFrame, reference: DataFrame, slips: int = 2) -> DataFr
     reference rows do no harm; an empty reference leaves every name unmatched.
     """
     distinct = names.select("name").dropna().distinct()
+    # Keys, entries and exact hits are read by several joins each: they are written once, not parsed again for every one.
     parsed = stage(distinct.mapInPandas(_parse, KEYS), "keys")
     ref = reference.select("name", "kind", F.col("entry").cast("long").alias("entry")).dropna().mapInPandas(
         _reference, T.StructType([*KEYS.fields[1:], T.StructField("entry", T.LongType())])
