@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, distances, network, ordination, replicates, stats
-from ..session import stage
+from ..session import dense_ids, stage
 from . import views as v
 from .community import r
 
@@ -161,38 +161,40 @@ def indval_permutation(spark, d):
     return replicates.indval_test(spark, (y > 0).astype(float), names, pdf["grp"].tolist())
 
 
+def _present(spark, d):
+    """Presence of the species on at least three plots, all of them."""
+    p = stage(v.presence(spark, d), "presence")
+    return p.join(network.frequent_species(p).select("species_name"), "species_name", "left_semi")
+
+
 def _edges(spark, d):
-    a, _ = grouped(spark, d)
-    p = a.select("plot_id", "species_name").distinct()
-    top = p.groupBy("species_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "species_name").limit(200)
-    p = p.join(F.broadcast(top), "species_name", "left_semi")  # the 200 most frequent species are the feature
-    return p, network.edges(p, 3)
+    return stage(network.edges(_present(spark, d), 3), "edges")
 
 
 @query
 def network_nodes(spark, d):
-    return network.node_table(spark, _edges(spark, d)[1])
+    return network.node_table(spark, _edges(spark, d))
 
 
 @query
 def betweenness(spark, d):
-    return network.betweenness(spark, *network.adjacency(_edges(spark, d)[1]))
+    return network.betweenness(spark, *network.adjacency(_edges(spark, d)))
 
 
 @query
 def louvain(spark, d):
-    names, near = network.adjacency(_edges(spark, d)[1])
+    names, near = network.adjacency(_edges(spark, d))
     label = network.louvain(near)
     return spark.createDataFrame([(n, int(c)) for n, c in zip(names, label, strict=True)], "species_name string, community int")
 
 
 @query
 def null_modularity(spark, d):
-    p, _ = _edges(spark, d)
-    ids = [x.plot_id for x in p.select("plot_id").distinct().orderBy("plot_id").collect()]
-    names = [x.species_name for x in p.select("species_name").distinct().orderBy("species_name").collect()]
-    m = replicates.to_matrix(p.withColumn("one", F.lit(1.0)), "plot_id", "species_name", "one", ids, names)
-    return network.null_modularity(spark, m.astype(np.int8), 3, 99)
+    p = _present(spark, d)
+    rows, _ = dense_ids(p.select("plot_id").distinct(), "plot_id", "i")
+    cols, _ = dense_ids(p.select("species_name").distinct(), "species_name", "j")
+    t = p.join(rows, "plot_id").join(cols, "species_name").select("i", "j").orderBy("i", "j").toArrow()
+    return network.null_modularity_pairs(spark, t["i"].to_numpy(), t["j"].to_numpy(), 3, 99)
 
 
 @query
