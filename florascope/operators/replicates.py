@@ -13,8 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: Largest matrix sent along with replicates, bytes.
 MATRIX_BYTES = 256 << 20
+#: Cells of a sparse table that one task takes through all replicates.
+CELLS = 200_000
 
 
 def check_size(*arrays: np.ndarray) -> None:
@@ -38,6 +42,12 @@ def replicates(spark: SparkSession, n: int, one: Callable[[np.random.Generator,
     return spark.range(0, n, 1, parts).mapInPandas(run, f"rep long, {schema}")
 
 
+def species_blocks(cells: DataFrame) -> DataFrame:
+    """cells with a column block: all cells of a species in one, some CELLS of them in each."""
+    n = max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // CELLS))
+    return cells.withColumn("block", F.pmod(F.xxhash64("species_name"), F.lit(n))).repartition(n, "block")
+
+
 def permutation_p(reps: DataFrame, stat: str, observed: float | None, plus_one: bool = True) -> DataFrame:
     """One row (observed, n, p): share of replicates reaching the observed value, the observed one counted unless plus_one is off."""
     o = F.lit(observed).cast("double")
@@ -145,6 +155,35 @@ def indval_test(spark: SparkSession, occ: np.ndarray, species: list[str], labels
     return base.join(hits, "i").drop("i")
 
 
+def indval_cells(cells: DataFrame, labels: list, n: int = 999, seed: int = 42) -> DataFrame:
+    """(species_name, stat, p, p_adj) of every species of sparse cells (i, species_name), i the plot's place in labels.
+
+    Blocks of species draw the same shuffles as indval_test, so the split changes nothing. p_adj is over all species.
+    """
+    from .ranks import bh_adjust
+
+    _, g = np.unique(np.asarray(labels, dtype=str), return_inverse=True)
+    k, g = int(g.max()) + 1, g.astype(np.int32)
+    size = np.bincount(g, minlength=k)
+
+    def block(b: pd.DataFrame) -> pd.DataFrame:
+        at, names = pd.factorize(b["species_name"])
+        row, base = b["i"].to_numpy(), at * k
+
+        def stat(grp: np.ndarray) -> np.ndarray:
+            means = np.bincount(base + grp[row], minlength=k * len(names)).reshape(-1, k) / size
+            best = means.max(1)
+            return best / (means.sum(1) + 1e-12) * best
+
+        seen, hits = stat(g), np.zeros(len(names), int)
+        for r in range(n):
+            hits += stat(np.random.default_rng([seed, r]).permutation(g)) >= seen - 1e-12
+        return pd.DataFrame({"species_name": names, "stat": seen, "p": (hits + 1) / (n + 1)})
+
+    x = species_blocks(cells.select("i", "species_name").distinct()).groupBy("block").applyInPandas(block, "species_name string, stat double, p double")
+    return bh_adjust(stage(x, "indval"), "p").select("species_name", "stat", "p", "p_adj")
+
+
 def bootstrap_line(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: int = 500, points: int = 300, seed: int = 42) -> DataFrame:
     """(x, low, high): 2.5 and 97.5 percentiles of regression lines over resampled rows."""
     check_size(x, y)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, distances, network, ordination, replicates, stats
-from ..session import dense_ids, stage
+from ..session import broadcast_if_small, dense_ids, stage
 from . import views as v
 from .community import r
 
@@ -44,6 +44,12 @@ def _frame(spark, d):
     return a, e, pdf["plot_id"].tolist(), pdf
 
 
+def _cells(a, e) -> tuple[DataFrame, DataFrame]:
+    """(cells (i, species_name, abund), e with i) of the plots of e, numbered from 0."""
+    e, n = dense_ids(e, "plot_id", "i")
+    return stage(a.join(broadcast_if_small(e.select("plot_id", "i"), n, 40), "plot_id").select("i", "species_name", "abund"), "cells"), e.orderBy("i")
+
+
 def _dist(spark, d):
     a, e, ids, pdf = _frame(spark, d)
     return replicates.distance_matrix(distances.bray_curtis(a), ids), ids, pdf
@@ -156,9 +162,9 @@ def vif(spark, d):
 
 @query
 def indval_permutation(spark, d):
-    a, _, ids, pdf = _frame(spark, d)
-    y, names = _matrix(a, ids, 2000)
-    return replicates.indval_test(spark, (y > 0).astype(float), names, pdf["grp"].tolist())
+    e = v.env(spark, d).where("forest_type is not null").select("plot_id", F.col("forest_type").alias("grp"))
+    cells, e = _cells(v.abund(spark, d).where("abund > 0"), e)
+    return replicates.indval_cells(cells, [x.grp for x in e.select("i", "grp").orderBy("i").collect()])
 
 
 def _present(spark, d):
