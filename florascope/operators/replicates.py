@@ -91,6 +91,62 @@ def permanova_test(spark: SparkSession, dist: np.ndarray, labels: list, n: int =
     return permutation_p(replicates(spark, n, lambda rng, _: {"f": f(rng.permutation(g))}, "f double", seed), "f", f(g))
 
 
+def permanova_blocks(cells: DataFrame, labels: list, n: int = 999, seed: int = 42) -> DataFrame:
+    """permanova_test of Bray-Curtis distances on sparse cells (i, species_name, abund), i the plot's place in labels.
+
+    A task makes the distances of some rows and adds up their squares within groups under every shuffle; the n x n matrix is never whole.
+    """
+    spark = cells.sparkSession
+    _, g = np.unique(np.asarray(labels, dtype=str), return_inverse=True)
+    k, m = int(g.max()) + 1 if len(g) else 0, len(g)
+    if k < 2 or m <= k:
+        return permutation_p(spark.createDataFrame([], "f double"), "f", None)
+    t = cells.select("i", F.xxhash64("species_name").alias("s"), "abund").toArrow()
+    row, val = t["i"].to_numpy(), t["abund"].to_numpy()
+    _, col = np.unique(t["s"].to_numpy(), return_inverse=True)
+    total, size = np.bincount(row, val, m), np.bincount(g, minlength=k)
+    o = np.lexsort((row, col))
+    by_col = (np.searchsorted(col[o], np.arange(col.max() + 2)), row[o].astype(np.int32), val[o])
+    o = np.lexsort((col, row))
+    by_row = (np.searchsorted(row[o], np.arange(m + 1)), col[o].astype(np.int32), val[o])
+    check_size(*by_col, *by_row)
+    # A block's distances take 32 MB at most.
+    step = max(1, min(-(-m // (4 * spark.sparkContext.defaultParallelism)), (32 << 20) // (8 * m)))
+
+    def squares(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, m))
+        for i in range(lo, hi):
+            for a in range(by_row[0][i], by_row[0][i + 1]):
+                s = slice(by_col[0][by_row[1][a]], by_col[0][by_row[1][a] + 1])
+                out[i - lo, by_col[1][s]] += np.minimum(by_col[2][s], by_row[2][a])
+            out[i - lo] = 1 - 2 * out[i - lo] / (total[i] + total)
+            out[i - lo, i] = 0
+        return out * out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in b["id"] * step:
+                hi = min(lo + step, m)
+                sq = squares(lo, hi)
+                sst, at = float(sq.sum()), np.arange(hi - lo)
+                for first in range(-1, n, 8):
+                    reps = range(first, min(first + 8, n))
+                    labs = [np.random.default_rng([seed, r]).permutation(g) if r >= 0 else g for r in reps]
+                    hot = np.zeros((m, k * len(labs)))
+                    for j, x in enumerate(labs):
+                        hot[np.arange(m), j * k + x] = 1
+                    w = sq @ hot
+                    ssw = [float((w[at, j * k + x[lo:hi]] / size[x[lo:hi]]).sum() / 2) for j, x in enumerate(labs)]
+                    yield pd.DataFrame({"rep": list(reps), "w": ssw, "t": sst})
+
+    blocks = -(-m // step)
+    sums = spark.range(0, blocks, 1, blocks).mapInPandas(run, "rep long, w double, t double").groupBy("rep").agg(F.sum("w").alias("w"), (F.sum("t") / 2 / m).alias("t"))
+    f = F.when(F.col("w") > 0, (F.col("t") - F.col("w")) / (k - 1) / (F.col("w") / (m - k))).otherwise(F.lit(float("inf")))
+    got = {r.rep: r.f for r in sums.select("rep", f.alias("f")).collect()}
+    seen = got.pop(-1)
+    return permutation_p(spark.createDataFrame([(float(x),) for x in got.values()], "f double"), "f", seen)
+
+
 def mantel_test(spark: SparkSession, a: np.ndarray, b: np.ndarray, n: int = 999, seed: int = 42) -> DataFrame:
     """Two-sided: absolute correlations are compared."""
     check_size(a, b)

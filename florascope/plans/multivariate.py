@@ -1,7 +1,7 @@
 """Ordinations, permutation tests and graph iterations. No SQL says the same; results are tested by invariants and small cases.
 
-The plots of these queries are the pairs of district and forest type, into which the whole inventory is summed: their number
-doesn't grow with the inventory, so the matrices stay small at any size.
+They run on the plots themselves. CCA, IndVal, PERMANOVA, variance partitioning, bootstrap and networks hold sparse tables; the others need
+the plots' n x n matrix on the driver and raise where it exceeds replicates.MATRIX_BYTES.
 """
 
 from __future__ import annotations
@@ -24,24 +24,17 @@ def query(f):
     return f
 
 
-def grouped(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(abundance by grouped plot and species, grouped environment with grp), both staged."""
-    e = v.env(spark, d).where("dzongkhag is not null and forest_type is not null")
-    key = F.concat_ws("|", "dzongkhag", "forest_type")
+def plots(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(abundance by plot and species, environment of the same plots with grp; what isn't known is null), both staged."""
     north, east = clean.aspect_components(F.col("aspect"))
-    e = e.withColumns({"unit": key, "northness": north, "eastness": east})
-    a = v.abund(spark, d).where("abund > 0").join(e.select("plot_id", "unit"), "plot_id")
-    a = a.groupBy(F.col("unit").alias("plot_id"), "species_name").agg(F.sum("abund").alias("abund"))
-    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in (*PREDICTORS, "longitude", "latitude")]
-    env = e.groupBy(F.col("unit").alias("plot_id")).agg(F.first("forest_type").alias("grp"), *means)
-    a = stage(a, "abund")
-    return a, stage(env.join(a.select("plot_id").distinct(), "plot_id", "left_semi"), "env")
+    e = v.env(spark, d).withColumns({"northness": north, "eastness": east}).withColumnRenamed("forest_type", "grp")
+    a = stage(v.abund(spark, d).where("abund > 0"), "abund")
+    return a, stage(a.select("plot_id").distinct().join(e.select("plot_id", "grp", *PREDICTORS, "longitude", "latitude"), "plot_id", "left"), "env")
 
 
-def _frame(spark, d):
-    a, e = grouped(spark, d)
-    pdf = e.orderBy("plot_id").toPandas()
-    return a, e, pdf["plot_id"].tolist(), pdf
+def _imputed(spark, d) -> tuple[DataFrame, DataFrame]:
+    a, e = plots(spark, d)
+    return a, stage(clean.median_impute(e, PREDICTORS), "env")
 
 
 def _cells(a, e) -> tuple[DataFrame, DataFrame]:
@@ -50,16 +43,15 @@ def _cells(a, e) -> tuple[DataFrame, DataFrame]:
     return stage(a.join(broadcast_if_small(e.select("plot_id", "i"), n, 40), "plot_id").select("i", "species_name", "abund"), "cells"), e.orderBy("i")
 
 
-def _dist(spark, d):
-    a, e, ids, pdf = _frame(spark, d)
+def _dist(spark, d, where="true"):
+    """The dense matrix of the plots that pass, their ids and environment."""
+    a, e = plots(spark, d)
+    pdf = e.where(where).orderBy("plot_id").toPandas()
+    ids = pdf["plot_id"].tolist()
+    a = a.join(e.where(where).select("plot_id"), "plot_id", "left_semi")
     return replicates.distance_matrix(distances.bray_curtis(a), ids), ids, pdf
 
 
-def _matrix(a, ids, top=200):
-    names = [x.species_name for x in a.groupBy("species_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "species_name").limit(top).collect()]
-    return replicates.to_matrix(a, "plot_id", "species_name", "abund", ids, names), names
-
-
 @query
 def nmds_2d(spark, d):
     m, ids, _ = _dist(spark, d)
@@ -91,66 +83,62 @@ def pcoa_smacof(spark, d):
 
 @query
 def permanova_p(spark, d):
-    m, _, pdf = _dist(spark, d)
-    return replicates.permanova_test(spark, m, pdf["grp"].tolist())
+    a, e = plots(spark, d)
+    cells, e = _cells(a, e.where("grp is not null"))
+    return replicates.permanova_blocks(cells, [x.grp for x in e.select("i", "grp").orderBy("i").collect()])
 
 
 @query
 def anosim_p(spark, d):
-    m, _, pdf = _dist(spark, d)
+    m, _, pdf = _dist(spark, d, "grp is not null")
     return replicates.anosim_test(spark, m, pdf["grp"].tolist())
 
 
 @query
 def mantel_p(spark, d):
-    a, e, ids, _ = _frame(spark, d)
+    placed = "longitude is not null and latitude is not null"
+    m, ids, pdf = _dist(spark, d, placed)
+    e = spark.createDataFrame(pdf[["plot_id", "longitude", "latitude"]])
     km = replicates.distance_matrix(distances.haversine_pairs(e, "plot_id", "longitude", "latitude"), ids, "km")
-    return replicates.mantel_test(spark, replicates.distance_matrix(distances.bray_curtis(a), ids), km)
+    return replicates.mantel_test(spark, m, km)
 
 
 @query
 def permdisp(spark, d):
-    m, ids, pdf = _dist(spark, d)
+    m, ids, pdf = _dist(spark, d, "grp is not null")
     x = ordination.pcoa(spark, m, ids, 10)[0].orderBy("plot_id").toPandas()
     return replicates.permdisp_test(spark, x.drop(columns="plot_id").to_numpy(), pdf["grp"].tolist())
 
 
 @query
 def cca_axes(spark, d):
-    a, e = grouped(spark, d)
-    c = ordination.cca(a, e, PREDICTORS)
+    c = ordination.cca(*_imputed(spark, d), PREDICTORS)
     rows = [(i + 1, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(c["eigenvalues"], c["share_constrained"], c["share_total"], strict=True))]
     return spark.createDataFrame(rows, "axis int, eigenvalue double, pct_constrained double, pct_total double")
 
 
 @query
 def cca_site_scores(spark, d):
-    a, e = grouped(spark, d)
+    a, e = _imputed(spark, d)
     return ordination.site_scores(e, PREDICTORS, ordination.cca(a, e, PREDICTORS))
 
 
 @query
 def cca_species_scores(spark, d):
-    a, e = grouped(spark, d)
-    x = ordination.cca(a, e, PREDICTORS)["species"].iloc[:, :2]
+    x = ordination.cca(*_imputed(spark, d), PREDICTORS)["species"].iloc[:, :2]
     x.columns = ["CCA1", "CCA2"]
     return spark.createDataFrame(x.reset_index())
 
 
 @query
 def cca_permutation(spark, d):
-    a, _, ids, pdf = _frame(spark, d)
-    y, _ = _matrix(a, ids)
-    keep = y.sum(1) > 0
-    return ordination.cca_test(spark, y[keep], pdf[PREDICTORS].to_numpy(float)[keep])
+    cells, e = _cells(*_imputed(spark, d))
+    return ordination.cca_test_cells(cells, e.select("i", *PREDICTORS).orderBy("i").toPandas()[PREDICTORS].to_numpy(float))
 
 
 @query
 def variance_partition(spark, d):
-    a, _, ids, pdf = _frame(spark, d)
-    y, _ = _matrix(a, ids)
-    x = {"climate": ["bio12"], "topography": ["elevation", "slope", "northness", "eastness"]}
-    return ordination.variance_partition(spark, y, {g: pdf[c].to_numpy(float) for g, c in x.items()})
+    return ordination.variance_partition_cells(*_imputed(spark, d), {"climate": ["bio12"], "topography": ["elevation", "slope", "northness", "eastness"]})
 
 
 @query
@@ -205,8 +193,7 @@ def null_modularity(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    a, e, _, _ = _frame(spark, d)
-    x = a.groupBy("plot_id").agg(F.count("*").alias("richness")).join(e, "plot_id").orderBy("plot_id").toPandas()
+    x = v.alpha_env(spark, d).where("elevation is not null").select("plot_id", "elevation", "richness").orderBy("plot_id").toPandas()
     return replicates.bootstrap_line(spark, x["elevation"].to_numpy(float), x["richness"].to_numpy(float))
 
 
