@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULTS, Params
 from .operators import clean, distances, diversity, indicators, network, ordination, raster, stats, trend
 from .plans import views
-
+from .session import stage as stage_table
 from .sources.readers import file_inventory
 from .sources.sinks import read_json, write_json, write_table, write_text
 
@@ -114,8 +114,19 @@ def beta(c: Context) -> dict[str, DataFrame]:
     return {"bray_curtis": distances.bray_curtis(c.table("01", "abundance"), dense=False)}
 
 
+def _predictors(c: Context) -> tuple[DataFrame, list[str]]:
+    """Environment of all plots with abundance and its usable predictors: aspect by its components, medians where nothing is known."""
+    north, east = clean.aspect_components(F.col("aspect"))
+    plots = c.table("01", "abundance").where("abund > 0").select("plot_id").distinct()
+    e = plots.join(c.table("02", "env_master"), "plot_id", "left").withColumns({"aspect_northness": north, "aspect_eastness": east})
+    every = clean.numeric_columns(e, ("longitude", "latitude", "aspect"))
+    usable = {x.variable for x in clean.usable_predictors(e, every).collect()}
+    cols = [x for x in every if x in usable]
+    return stage_table(clean.median_impute(e, cols).select("plot_id", *cols), "predictors"), cols
+
+
 def ordinations(c: Context) -> dict[str, DataFrame]:
-    e, cols = c.table("02", "env_master"), ["elevation", "slope", "bio12"]
+    e, cols = _predictors(c)
     fit = ordination.cca(c.table("01", "abundance"), e, cols)
     rows = [(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(fit["eigenvalues"], fit["share_total"], strict=True))]
     return {"axes": c.spark.createDataFrame(rows, "axis int, eigenvalue double, pct_total double"), "sites": ordination.site_scores(e, cols, fit), "vif": ordination.vif(e, cols)}
