@@ -20,14 +20,16 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULTS, Params
-from .operators import clean, distances, diversity, indicators, network, ordination, raster, stats, trend
+from .operators import clean, distances, diversity, indicators, network, ordination, ranks, raster, replicates, stats, trend
 from .plans import views
+from .session import dense_ids
 from .session import stage as stage_table
 from .sources.readers import file_inventory
 from .sources.sinks import read_json, write_json, write_table, write_text
@@ -109,9 +111,25 @@ def _groups(c: Context) -> DataFrame:
     return c.table("02", "env_master").select("plot_id", F.col("forest_type").alias("grp"))
 
 
+def _cells(c: Context, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells (i, species_name, abund) of the plots of ids, ids with i)."""
+    ids, _ = dense_ids(ids, "plot_id", "i")
+    return c.table("01", "abundance").where("abund > 0").join(ids.select("plot_id", "i"), "plot_id").select("i", "species_name", "abund"), ids
+
+
+def _grouped_cells(c: Context, ids: DataFrame) -> tuple[DataFrame, list[str]]:
+    cells, ids = _cells(c, ids.where("grp is not null"))
+    return stage_table(cells, "cells"), [x.grp for x in ids.select("i", "grp").orderBy("i").collect()]
+
+
 def beta(c: Context) -> dict[str, DataFrame]:
+    present = c.table("01", "abundance").where("abund > 0").select("plot_id").distinct()
+    cells, labels = _grouped_cells(c, _groups(c).join(present, "plot_id", "left_semi"))
     # Only pairs that share species are kept; the others are at distance 1.
-    return {"bray_curtis": distances.bray_curtis(c.table("01", "abundance"), dense=False)}
+    return {
+        "bray_curtis": distances.bray_curtis(c.table("01", "abundance"), dense=False),
+        "permanova": replicates.permanova_blocks(cells, labels, c.params.permutations, c.params.seed),
+    }
 
 
 def _predictors(c: Context) -> tuple[DataFrame, list[str]]:
@@ -129,20 +147,41 @@ def ordinations(c: Context) -> dict[str, DataFrame]:
     e, cols = _predictors(c)
     fit = ordination.cca(c.table("01", "abundance"), e, cols)
     rows = [(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(fit["eigenvalues"], fit["share_total"], strict=True))]
-    return {"axes": c.spark.createDataFrame(rows, "axis int, eigenvalue double, pct_total double"), "sites": ordination.site_scores(e, cols, fit), "vif": ordination.vif(e, cols)}
+    species = fit["species"].iloc[:, :2].reset_index()
+    species.columns = ["species_name", *[f"CCA{k + 1}" for k in range(species.shape[1] - 1)]]
+    cells, ids = _cells(c, e)
+    x = ids.orderBy("i").toPandas()[cols].to_numpy(float)
+    groups: dict[str, list[str]] = {}
+    for col in cols:
+        groups.setdefault(next((g for g, words in c.params.variable_groups if any(w in col for w in words)), "other"), []).append(col)
+    return {
+        "axes": c.spark.createDataFrame(rows, "axis int, eigenvalue double, pct_total double"), "sites": ordination.site_scores(e, cols, fit),
+        "species": c.spark.createDataFrame(species), "vif": ordination.vif(e, cols),
+        "permutation": ordination.cca_test_cells(stage_table(cells, "cells"), x, c.params.permutations, seed=c.params.seed),
+        "partition": ordination.variance_partition_cells(c.table("01", "abundance").where("abund > 0"), e, groups),
+    }
 
 
 def indicator(c: Context) -> dict[str, DataFrame]:
     p = c.table("01", "abundance").where("abund > 0").select("plot_id", "species_name").distinct()
     x = indicators.indval(p, _groups(c))
+    tested = replicates.indval_cells(*_grouped_cells(c, _groups(c)), c.params.permutations, c.params.seed)
+    x = stage_table(x.join(tested.select("species_name", "p", "p_adj"), "species_name"), "indval")
     return {"indval": x, "top": indicators.top_per_group(x)}
 
 
 def cooccurrence(c: Context) -> dict[str, DataFrame]:
     p = c.table("01", "abundance").where("abund > 0").select("plot_id", "species_name").distinct().where(~clean.ambiguous_taxon(F.col("species_name")))
-    p = p.join(network.frequent_species(p, c.params.min_species_occurrence).select("species_name"), "species_name", "left_semi")
-    e = network.edges(p, c.params.min_species_occurrence)
-    return {"edges": e, "nodes": network.degrees(e)}
+    p = stage_table(p.join(network.frequent_species(p, c.params.min_species_occurrence).select("species_name"), "species_name", "left_semi"), "presence")
+    e = stage_table(network.edges(p, c.params.min_species_occurrence), "edges")
+    rows, _ = dense_ids(p.select("plot_id").distinct(), "plot_id", "i")
+    cols, _ = dense_ids(p.select("species_name").distinct(), "species_name", "j")
+    t = p.join(rows, "plot_id").join(cols, "species_name").select("i", "j").orderBy("i", "j").toArrow()
+    return {
+        "edges": e, "nodes": network.degrees(e).join(network.node_table(c.spark, e, c.params.seed).drop("degree"), "species_name"),
+        "null_model": network.null_modularity_pairs(c.spark, t["i"].to_numpy(), t["j"].to_numpy(), c.params.min_species_occurrence, c.params.null_permutations, c.params.seed),
+        "pairs": network.significant_pairs(p, c.params.significance),
+    }
 
 
 def trends(c: Context) -> dict[str, DataFrame]:
@@ -150,14 +189,31 @@ def trends(c: Context) -> dict[str, DataFrame]:
     mk = trend.mann_kendall(ts)
     t = trend.theil_sen(ts).join(mk, "pixel").withColumn("p", trend.mk_p(F.col("tau"), F.col("n")))
     t = t.withColumn("trend_class", trend.trend_class(F.col("slope"), F.col("p"), c.params.significance))
-    return {"trends": t, "areas": raster.area_statistics(t, "slope", "p", 0.0625, c.params.significance)}
+    t = stage_table(t, "trends")
+    adjusted = ranks.bh_adjust(t, "p")
+    return {
+        "trends": t, "areas": raster.area_statistics(t, "slope", "p", 0.0625, c.params.significance),
+        "areas_fdr": raster.area_statistics(adjusted, "slope", "p_adj", 0.0625, c.params.significance),
+    }
+
+
+def _sensitivity(s: DataFrame, parts: list[str]) -> DataFrame:
+    """(component_dropped, rho, p, interpretation): rank correlation of the index with the one that lacks a component."""
+    out = []
+    for x in parts:
+        left = sum((F.coalesce(f"z_{y}", F.lit(0.0)) for y in parts if y != x), F.lit(0.0))
+        out.append(stats.spearman(s.withColumn("_left", left), "sci_index", "_left").select(F.lit(x).alias("component_dropped"), "rho", "p"))
+    rho = F.col("rho")
+    label = F.when(rho >= 0.95, "robust (r ≥ 0.95)").when(rho >= 0.9, "moderate sensitivity (0.90 ≤ r < 0.95)").when(rho.isNotNull(), "sensitive (r < 0.90)")
+    return reduce(DataFrame.unionByName, out).withColumn("interpretation", label)
 
 
 def index(c: Context) -> dict[str, DataFrame]:
     a = c.table("03", "alpha")
     parts = ["richness", "shannon", "simpson", *[x for x in a.columns if x.startswith("richness_")]]
     s = diversity.sci_index(a, parts)
-    return {"sci": s, "groups": diversity.group_summary(s, "forest_type", "sci_index")}
+    s = stage_table(s, "sci")
+    return {"sci": s, "groups": diversity.group_summary(s, "forest_type", "sci_index"), "sensitivity": _sensitivity(s, parts)}
 
 
 def mapping(c: Context) -> dict[str, DataFrame]:
@@ -178,12 +234,12 @@ REGISTRY: dict[str, Stage] = {s.id: s for s in (
     Stage("02", "env_extraction", ("01",), environment, ("env_master",), ("env_master_csv",), 20.0),
     Stage("02b", "qc_after_env_extraction", ("02",), qc_environment, ("na_rates", "outliers", "collinear"), (), 0.5),
     Stage("03", "alpha_diversity", ("02",), alpha, ("alpha", "bands", "kruskal", "dunn"), (), 1.5),
-    Stage("04", "beta_diversity", ("03",), beta, ("bray_curtis",), (), 3.0),
-    Stage("05", "cca_ordination", ("02",), ordinations, ("axes", "sites", "vif"), (), 2.0),
+    Stage("04", "beta_diversity", ("03",), beta, ("bray_curtis", "permanova"), (), 3.0),
+    Stage("05", "cca_ordination", ("02",), ordinations, ("axes", "sites", "species", "vif", "permutation", "partition"), (), 2.0),
     Stage("06", "indicator_species", ("03",), indicator, ("indval", "top"), (), 2.0),
-    Stage("07", "co_occurrence", ("03",), cooccurrence, ("edges", "nodes"), (), 2.0),
-    Stage("08", "evi_spatial_analysis", ("03", "09"), trends, ("trends", "areas"), ("events",), 1.0),
-    Stage("09", "sci_index", ("03",), index, ("sci", "groups"), (), 1.0),
+    Stage("07", "co_occurrence", ("03",), cooccurrence, ("edges", "nodes", "null_model", "pairs"), (), 2.0),
+    Stage("08", "evi_spatial_analysis", ("03", "09"), trends, ("trends", "areas", "areas_fdr"), ("events",), 1.0),
+    Stage("09", "sci_index", ("03",), index, ("sci", "groups", "sensitivity"), (), 1.0),
     Stage("10", "spatial_mapping", ("03", "04", "08", "09"), mapping, ("map_points",), (), 5.0),
     Stage("11", "reporting", ("03", "04", "05", "06", "07", "08", "09", "10"), reporting, ("group_summary", "top20"), (), 2.0),
 )}

@@ -18,3 +18,17 @@ def test_ordination_takes_all_plots_and_predictors(ran):
     sites = ran.table("05", "sites").collect()
     assert {r.plot_id for r in sites} == plots and all(x is not None for r in sites for x in r)
     assert {r.variable for r in ran.table("05", "vif").collect()} == {"elevation", "slope", "bio1", "bio12", "aspect_northness", "aspect_eastness"}
+
+
+def test_stages_give_their_products(ran):
+    assert 0 < ran.table("04", "permanova").first().p <= 1
+    assert {r.axis for r in ran.table("05", "permutation").collect()} == {1, 2} and ran.table("05", "partition").count() > 5
+    species = ran.table("01", "abundance").where("abund > 0").select("species_name").distinct().count()
+    assert ran.table("05", "species").count() == species
+    assert all(0 < r.p <= r.p_adj <= 1 for r in ran.table("06", "indval").collect())
+    nodes = ran.table("07", "nodes").collect()
+    assert nodes and all(r.community >= 1 and r.betweenness >= 0 for r in nodes) and 0 <= ran.table("07", "null_model").first().p <= 1
+    assert {"src", "dst", "p_adj"} <= set(ran.table("07", "pairs").columns)
+    assert ran.table("08", "areas_fdr").count() == 4
+    s = ran.table("09", "sensitivity").collect()
+    assert len(s) >= 3 and all(r.interpretation for r in s if r.rho is not None)
