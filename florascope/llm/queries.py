@@ -30,6 +30,12 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.select("name_a", "name_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
 
 
+def p4_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """p4_pairs without its bound: every pair on one plot or more."""
+    x = pair_counts(_names(spark, d), "plot", "name")
+    return x.select("name_a", "name_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("log_odds", 6).alias("log_odds"))
+
+
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     names = _names(spark, d)
     n = names.select("plot").distinct().count()
@@ -114,7 +120,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_masked": p9_masked}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_all_pairs": p4_all_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
