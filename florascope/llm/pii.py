@@ -1,34 +1,63 @@
-"""Personal items in free text: found by a character tagger, bordered by their exact forms, replaced by typed placeholders.
+"""Personal items in free text: found by a character tagger and replaced by typed placeholders.
 
-A bidirectional LSTM with CRF transitions reads every text in overlapping windows; the windows' tags are reconciled into one tag
-for each character of the text. Around what it marks, the written forms of pii_forms settle borders and kind: a marked stretch
-without an exact form is no item, and a form that the tagger didn't mark isn't one either.
+A bidirectional LSTM with CRF transitions reads the text in overlapping windows; the windows' tags are reconciled into one tag for
+each character, and the decoded spans are the items. A check follows that can only bring a span to whole words and to the borders of
+the written form lying over most of it, or drop what can't be of its kind (pii_forms.check). A second decoding that lowers the
+score of 'outside' by LENIENT gives doubtful spans; one of them counts only if it is exactly what its form and the words beside it,
+or the list of names, make an item (pii_forms.label_spans).
 
-The tagger is trained in each session from at most TRAIN_DOCS labelled texts of the table itself (the ones with the smallest
-hash of text, so the choice doesn't depend on order or partitions); their spans are labelled by the same forms, read with the
-words around them. Everything else covers all texts.
+Only stretches that could hold an item are read by the network: around an at sign, around five digits or more, around a number beside
+a capitalised word, around two capitalised words. No item of the five kinds does without one of these.
+
+The tagger is trained from at most TRAIN_PIECES pieces of the table's own texts (chosen by hash, from anywhere in them), labelled
+by pii_forms.label_spans with a list of names, and from as many sentences of pii_synth. Its weights are a table in the shared
+folder: queries over the same table read them instead of training anew.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-from .pii_forms import exact_spans
+from ..session import spread, stage
+from .pii_forms import Names, check, expand, label_spans
+from .pii_synth import Maker
 from .tagger import KINDS, OVERLAP, WINDOW, Tagger, encode, reconcile, spans, windows
 
-#: Bounds of the training sample: texts, characters of each, windows of each of the two sorts (with and without items).
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS = 2500, 6000, 6000
-STEPS = 350
-#: Lowers the score of 'outside' when decoding: the exact forms drop what is marked in vain.
-FAVOUR = 2.0
+#: Bounds of the training sample: pieces of texts, characters of a piece, listed names, sentences made up.
+TRAIN_PIECES, PIECE, TRAIN_NAMES, TRAIN_MADE = 4000, 1500, 4000, 20_000
+STEPS, BATCH, RATE = 3000, 32, 0.01
+LENIENT = 5.0
+#: Characters of a training window: items are shorter, and a step costs by its length.
+TRAIN_WINDOW = 112
+#: Characters read before and after what may be an item.
+BEFORE, AFTER = 32, 28
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
+_S = "[ \u00a0]"
+_GATE = regex.compile(
+    rf"@|[\[({{]{_S}?(?i:at){_S}?[\])}}]|\d(?:[ \u00a0./()\-]{{0,2}}\d){{4,}}"
+    rf"|\d\p{{L}}?,?{_S}(?:\p{{L}}+{_S}){{0,2}}\p{{Lu}}|\p{{Lu}}\p{{L}}+{_S}\d{{1,4}}\p{{L}}?,"
+    rf"|(?:\p{{Lu}}[\p{{L}}\p{{M}}'’\-]*,?|\p{{Lu}}\.){_S}\p{{Lu}}|\p{{Lo}}{{2}}"
+)
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Parts of the text that the tagger has to read, in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for m in _GATE.finditer(text):
+        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def tags_of(length: int, found: list[tuple[int, int, str]]) -> np.ndarray:
@@ -40,108 +69,171 @@ def tags_of(length: int, found: list[tuple[int, int, str]]) -> np.ndarray:
     return y
 
 
-def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the texts at shifting offsets, and their tags: all with items, as many without."""
+def training_windows(texts: list[str], names: Names, made: int = TRAIN_MADE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, Names]:
+    """Windows over labelled stretches of the texts and over sentences made up from them, their tags, and the names expanded by the texts."""
     rng = np.random.default_rng(seed)
+    names = expand(texts, names)
     xs, ys = [], []
-    for text in texts:
-        found = exact_spans(text)
-        shift = int(rng.integers(0, WINDOW - OVERLAP))
-        codes, tags = encode(text)[shift:], tags_of(len(text), found)[shift:]
-        w, starts = windows(codes)
-        padded = np.zeros(starts[-1] + WINDOW, np.int64)
-        padded[: len(tags)] = tags
-        xs.append(w)
-        ys.append(np.stack([padded[s : s + WINDOW] for s in starts]))
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    has = np.flatnonzero((y > 0).any(1))
-    rest = np.flatnonzero(~(y > 0).any(1))
-    has = rng.permutation(has)[:TRAIN_WINDOWS]
-    rest = rng.permutation(rest)[: max(64, len(has) // 2)]
-    pick = np.concatenate([has, rest])
-    return np.ascontiguousarray(x[pick]), y[pick]
-
-
-def train(df: DataFrame, text_col: str, steps: int = STEPS) -> Tagger | None:
-    """A tagger fitted on the bounded sample of df; None if there is no text."""
-    sample = df.select(F.substring(text_col, 1, TRAIN_CHARS).alias("t")).where(F.length("t") > 0)
-    sample = sample.orderBy(F.xxhash64("t"), "t").limit(TRAIN_DOCS).coalesce(1)
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = [t for b in batches for t in b["t"]]
-        if texts:
-            model = Tagger()
-            model.fit(*training_windows(texts), steps)
-            yield pd.DataFrame({"weights": [pickle.dumps(model.p)]})
+    def add(text: str, found: list[tuple[int, int, str]], doubt: list[tuple[int, int]], keep: float) -> None:
+        codes, tags = encode(text), tags_of(len(text), found)
+        for a, b in stretches(text):
+            # A stretch rarely begins where a text's stretch would be cut: it is read from a little further on or back.
+            a = max(0, a - int(rng.integers(0, 24)))
+            for at in range(a, max(b - OVERLAP, a + 1), TRAIN_WINDOW - OVERLAP):
+                end = min(at + TRAIN_WINDOW, b)
+                if any(x < end and at < y for x, y in doubt) or (not tags[at:end].any() and rng.random() > keep):
+                    continue
+                x, y = np.zeros(TRAIN_WINDOW, np.uint8), np.zeros(TRAIN_WINDOW, np.int64)
+                x[: end - at], y[: end - at] = codes[at:end], tags[at:end]
+                xs.append(x)
+                ys.append(y)
 
-    # One task of the cluster trains (a retried one comes to the same weights); about 100 kB come back.
-    row = sample.mapInPandas(fit, "weights binary").first()
-    if row is None:
+    for text in texts:
+        add(text, *label_spans(text, names), 1.0)
+    maker = Maker(rng, sorted(names.given), sorted(names.family))
+    bases = [s for t in texts for s in regex.split(r"(?<=[.!?])\s|\n", t) if 20 < len(s) < 160]
+    for _ in range(made if bases else 0):
+        base = bases[int(rng.integers(len(bases)))]
+        # A sentence with items of its own, or doubtful ones, isn't built upon.
+        if any(label_spans(base, names)):
+            continue
+        text, found = maker.sentence(base)
+        add(text, found, [], 0.6)
+    if not xs:
+        return np.zeros((0, TRAIN_WINDOW), np.uint8), np.zeros((0, TRAIN_WINDOW), np.int64), names
+    order = rng.permutation(len(xs))
+    return np.stack(xs)[order], np.stack(ys)[order], names
+
+
+@dataclass
+class Model:
+    """A trained tagger with the names it was trained with."""
+
+    tagger: Tagger
+    names: Names = field(default_factory=Names)
+
+
+#: Weight tables of this session, by the plan of the texts they were trained on.
+_TRAINED: dict[tuple, DataFrame] = {}
+
+
+def train(df: DataFrame, text_col: str, names: DataFrame | None = None, steps: int = STEPS) -> Model | None:
+    """A tagger fitted on the bounded sample of df; None if there is no text. names: (given, family), of which TRAIN_NAMES are used."""
+    key = (df.sparkSession.sparkContext.applicationId, df.select(text_col).semanticHash(), names is not None and names.semanticHash(), steps)
+    if key not in _TRAINED:
+        weights = _fit(df, text_col, names, steps)
+        if weights is None:
+            return None
+        _TRAINED[key] = weights
+    tagger = Tagger()
+    tagger.p, given, family = pickle.loads(_TRAINED[key].first().weights)
+    return Model(tagger, Names(given, family))
+
+
+def _fit(df: DataFrame, text_col: str, names: DataFrame | None, steps: int) -> DataFrame | None:
+    """The trained weights as a table of one row in the shared folder."""
+    t = F.col(text_col)
+    length = F.length(t)
+    total = df.agg(F.sum(F.ceil(length / PIECE))).first()[0]
+    if not total:
         return None
-    model = Tagger()
-    model.p = pickle.loads(row.weights)
-    return model
-
-
-def marked(model: Tagger, texts: list[str], favour: float = FAVOUR, batch: int = 512) -> list[np.ndarray]:
-    """Reconciled tags of whole texts."""
-    cut = [windows(encode(t)) for t in texts]
-    every = np.concatenate([w for w, _ in cut]) if cut else np.zeros((0, WINDOW), np.uint8)
-    tags = np.concatenate([model.viterbi(every[i : i + batch], favour) for i in range(0, len(every), batch)]) if len(every) else every
-    out, at = [], 0
-    for t, (w, starts) in zip(texts, cut, strict=True):
-        out.append(reconcile(tags[at : at + len(w)], starts, len(t)))
-        at += len(w)
-    return out
-
-
-def settle(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """Exact items of the marked stretches."""
-    found: set[tuple[int, int, str]] = set()
-    region: list[tuple[int, int]] = []
-
-    def close() -> None:
-        lo, hi = max(0, region[0][0] - 60), min(len(text), region[-1][1] + 10)
-        found.update(x for x in exact_spans(text, lo, hi) if any(x[0] < b and a < x[1] for a, b in region))
-        region.clear()
-
-    for a, b in spans(tags):
-        if region and a > region[-1][1] + 60:
-            close()
-        region.append((a, b))
-    if region:
-        close()
-    # Regions may meet the same item with different borders; the longer one holds.
-    out: list[tuple[int, int, str]] = []
-    for x in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+    # Pieces below a threshold of their hash, so that each task passes on its share of the bound and no more.
+    share = min(1.0, 1.3 * TRAIN_PIECES / total)
+    pieces = df.where(length > 0).select(t.alias("t"), F.posexplode(F.sequence(F.lit(1), length, F.lit(PIECE))).alias("i", "at"))
+    chance = F.xxhash64(F.xxhash64("t"), "i")
+    sample = pieces.withColumn("h", chance).where(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).select("h", F.expr(f"substring(t, at, {PIECE})").alias("t"))
+    sample = sample.orderBy("h", "t").limit(TRAIN_PIECES)
+    listed: list[list[str]] = [[], []]
+    if names is not None:
+        for k, c in enumerate(("given", "family")):
+            words = names.select(F.explode(F.split(F.lower(c), r"[ \-]+")).alias("w")).where(F.length("w") > 2).distinct()
+            listed[k] = [r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(TRAIN_NAMES).collect()]
 
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = [x for b in batches for x in b["t"]]
+        model = Tagger()
+        x, y, known = training_windows(texts, Names(set(listed[0]), set(listed[1])))
+        if len(x):
+            model.fit(x, y, steps, BATCH, RATE)
+        yield pd.DataFrame({"weights": [pickle.dumps((model.p, known.given, known.family))]})
 
-def _texts(batches: Iterator[pd.DataFrame], model: Tagger) -> Iterator[tuple[pd.DataFrame, list[list[tuple[int, int, str]]]]]:
+    # One task of the cluster trains (a retried one comes to the same weights); about 100 kB come back.
+    return stage(sample.coalesce(1).mapInPandas(fit, "weights binary"), "tagger")
+
+
+Spans = list[tuple[int, int, str]]
+
+
+def decoded(model: Model, texts: list[str], favours: tuple[float, ...] = (0.0, LENIENT), cells: int = 1 << 17) -> list[list[Spans]]:
+    """Spans that the tagger gives in whole texts, for each favour and text."""
+    cut: list[tuple[int, int, range, list[int]]] = []
+    parts: list[np.ndarray] = []
+    for i, text in enumerate(texts):
+        codes = None
+        for a, b in stretches(text):
+            codes = encode(text) if codes is None else codes
+            w, starts = windows(codes[a:b])
+            cut.append((i, a, range(len(parts), len(parts) + len(w)), starts))
+            parts += w
+    sizes = np.array([len(p) for p in parts], int)
+    tags: list[list[np.ndarray]] = [[np.zeros(0, np.int8)] * len(parts) for _ in favours]
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        # Windows of about the same length go together.
+        n = max(1, min(len(order) - at, cells // int(sizes[order[min(len(order) - 1, at + cells // WINDOW)]])))
+        group = order[at : at + n]
+        x = np.zeros((n, int(sizes[group].max())), np.uint8)
+        for r, g in enumerate(group):
+            x[r, : sizes[g]] = parts[g]
+        for out, got in zip(tags, model.tagger.viterbi(x, favours), strict=True):
+            for g, y in zip(group, got, strict=True):
+                out[g] = y[: sizes[g]]
+        at += n
+    found: list[list[Spans]] = [[[] for _ in texts] for _ in favours]
+    for out, got in zip(found, tags, strict=True):
+        for i, a, which, starts in cut:
+            y = reconcile([got[w] for w in which], starts)
+            if y.any():
+                out[i] += [(a + x, a + z, k) for x, z, k in spans(y)]
+    return found
+
+
+def checked(text: str, strict: Spans, lenient: Spans = (), names: Names | None = None) -> Spans:
+    """The decoded spans with their borders checked, without overlaps (the earlier, then the longer one holds)."""
+    out = {(*at, kind) for a, b, kind in strict if (at := check(text, a, b, kind, names))}
+    for a, b, kind in lenient:
+        if (a, b, kind) not in out and (at := check(text, a, b, kind, names)) and not any(x < at[1] and at[0] < y for x, y, _ in out):
+            lo = max(0, at[0] - 64)
+            if (at[0] - lo, at[1] - lo, kind) in label_spans(text[lo : at[1] + 16], names or Names())[0]:
+                out.add((*at, kind))
+    kept: Spans = []
+    for x in sorted(out, key=lambda x: (x[0], -x[1])):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+    return kept
+
+
+def _texts(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[tuple[pd.DataFrame, list[Spans]]]:
     for b in batches:
         b.columns = ["id", "text"]
         size = b["text"].str.len().fillna(0).to_numpy()
-        group = np.cumsum(size) // 200_000
+        group = np.cumsum(size) // 2_000_000
         for _, part in b.groupby(group, sort=True):
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
-            found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-            live = [i for i, t in enumerate(texts) if t]
-            for i, tags in zip(live, marked(model, [texts[i] for i in live]), strict=True):
-                found[i] = settle(texts[i], tags)
-            yield part, found
+            yield part, [checked(t, x, y, model.names) for t, x, y in zip(texts, *decoded(model, texts), strict=True)]
 
 
-def find_personal(df: DataFrame, id_col: str, text_col: str, model: Tagger | None = None) -> DataFrame:
+def find_personal(df: DataFrame, id_col: str, text_col: str, model: Model | None = None, names: DataFrame | None = None) -> DataFrame:
     """(id_col, pii_kind, pii_value), distinct: each item exactly as it stands in its text.
 
     Kinds: email, phone, id, address, name. Null, empty and blank texts have none; an empty table gives no rows; texts of any
-    length are read whole; other columns aren't read. model: one that is trained already.
+    length are read whole; other columns aren't read. model: one that is trained already; names: a list of names to train it with.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, pii_kind string, pii_value string"
-    model = model or train(df, text_col)
+    model = model or train(df, text_col, names)
     if model is None:
         return df.sparkSession.createDataFrame([], schema)
 
@@ -154,14 +246,14 @@ def find_personal(df: DataFrame, id_col: str, text_col: str, model: Tagger | Non
     return found.distinct()
 
 
-def mask_personal(df: DataFrame, id_col: str, text_col: str, model: Tagger | None = None) -> DataFrame:
+def mask_personal(df: DataFrame, id_col: str, text_col: str, model: Model | None = None, names: DataFrame | None = None) -> DataFrame:
     """(id_col, text_col, n_masked), one row for each row of df, items replaced by [EMAIL], [PHONE], [ID], [ADDRESS], [NAME].
 
     Null texts stay null, empty ones empty; everything else in a text stays as it is.
     """
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{text_col}` string, n_masked int"
-    model = model or train(df, text_col)
+    model = model or train(df, text_col, names)
     if model is None:
         return df.select(id_col, text_col, F.lit(0).cast("int").alias("n_masked"))
 

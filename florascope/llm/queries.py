@@ -93,13 +93,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).select("doc_id", "item_id")
 
 
+def _staff(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "field_staff").select(F.col("given_name").alias("given"), F.col("family_name").alias("family"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_personal(read(spark, d, "documents"), "doc_id", "text")
+    return find_personal(read(spark, d, "documents"), "doc_id", "text", names=_staff(spark, d))
 
 
 def p9_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every text with its personal items replaced by placeholders."""
-    return mask_personal(read(spark, d, "documents"), "doc_id", "text")
+    return mask_personal(read(spark, d, "documents"), "doc_id", "text", names=_staff(spark, d))
 
 
 _NAMES = """

@@ -12,7 +12,7 @@ KINDS = ("email", "phone", "id", "address", "name")
 #: Tags: 0 outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 #: Window and the part of it that overlaps the next one (characters).
-WINDOW, OVERLAP = 128, 40
+WINDOW, OVERLAP = 160, 48
 N_CHARS = 135
 
 
@@ -33,10 +33,6 @@ def encode(text: str) -> np.ndarray:
     return _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
     def __init__(self, hidden: int = 32, embedding: int = 20, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
@@ -48,74 +44,84 @@ class Tagger:
             self.p[f"b{d}"][h : 2 * h] = 1
         self.p |= {"wo": init(2 * h, TAGS), "bo": np.zeros(TAGS, np.float32), "tr": np.zeros((TAGS, TAGS), np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
-        """x (T, B) in the order of the direction; hidden states (T, B, h)."""
+    def _run(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
+        """x (T, B); hidden states (2, T, B, h) of both directions, each in its own order. Both go through one loop."""
         p, h, (t_max, n) = self.p, self.hidden, x.shape
-        table = p["emb"] @ p[f"wx{d}"] + p[f"b{d}"]
-        wh = p[f"wh{d}"]
-        out = np.empty((t_max, n, h), np.float32)
-        gates = np.empty((t_max, n, 4 * h), np.float32) if keep else None
-        cells = np.empty((t_max, n, h), np.float32) if keep else None
-        hs, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        both = np.stack([x, x[::-1]], 1).astype(np.int32)
+        both[:, 1] += N_CHARS
+        table = np.concatenate([p["emb"] @ p[f"wx{d}"] + p[f"b{d}"] for d in "fb"])
+        # The sigmoid is taken by tanh of half the argument: the halves are in the weights already.
+        table[:, : 3 * h] *= 0.5
+        wh = np.stack([p["whf"], p["whb"]])
+        wh[:, :, : 3 * h] *= 0.5
+        out = np.empty((t_max, 2, n, h), np.float32)
+        gates = np.empty((t_max, 2, n, 4 * h), np.float32) if keep else None
+        cells = np.empty((t_max, 2, n, h), np.float32) if keep else None
+        hs, c = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        z, u = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, h), np.float32)
+        w = np.empty_like(z)
         for t in range(t_max):
-            z = table[x[t]]
-            z += hs @ wh
-            s = z[:, : 3 * h]
-            s *= 0.5
+            z = gates[t] if keep else z
+            np.take(table, both[t], axis=0, out=z, mode="clip")
+            if t:
+                z += np.matmul(hs, wh, out=w)
             np.tanh(z, out=z)
+            s = z[:, :, : 3 * h]
             s *= 0.5
             s += 0.5
-            c = z[:, h : 2 * h] * c
-            c += z[:, :h] * z[:, 3 * h :]
-            hs = np.tanh(c)
-            hs *= z[:, 2 * h : 3 * h]
-            out[t] = hs
-            if keep:
-                gates[t], cells[t] = z, c
-        return out, (x, gates, cells, out)
-
-    def _back(self, saved: tuple, grad: np.ndarray, d: str, g: dict[str, np.ndarray]) -> None:
+            c = np.multiply(c, z[:, :, h : 2 * h], out=cells[t] if keep else c)
+            c += np.multiply(z[:, :, :h], z[:, :, 3 * h :], out=u)
+            hs = np.tanh(c, out=out[t])
+            hs *= z[:, :, 2 * h : 3 * h]
+        return out, (both, gates, cells, out)
+
+    def _back(self, saved: tuple, grad: np.ndarray, g: dict[str, np.ndarray]) -> None:
+        """grad (T, 2, B, h)."""
         p, h = self.p, self.hidden
-        x, gates, cells, out = saved
-        t_max, n = x.shape
-        dz_all = np.empty((t_max, n, 4 * h), np.float32)
-        dh_next, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        both, gates, cells, out = saved
+        t_max, _, n = both.shape
+        dz_all = np.empty((t_max, 2, n, 4 * h), np.float32)
+        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        back = np.ascontiguousarray(np.stack([p["whf"].T, p["whb"].T]))
+        i, f, o, u = (gates[..., k * h : (k + 1) * h] for k in range(4))
+        tc = np.tanh(cells)
+        before = np.concatenate([np.zeros((1, 2, n, h), np.float32), cells[:-1]])
+        # What each gate's gradient is multiplied by doesn't depend on the loop.
+        on_c = np.concatenate([u * i * (1 - i), before * f * (1 - f)], 3)
+        on_o, on_u, through = tc * o * (1 - o), i * (1 - u * u), o * (1 - tc * tc)
         for t in range(t_max - 1, -1, -1):
-            z, tc = gates[t], np.tanh(cells[t])
-            i, f, o, u = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-            dh = grad[t] + dh_next
-            dc = dc + dh * o * (1 - tc * tc)
-            before = cells[t - 1] if t else 0.0
+            dh += grad[t]
+            dc += dh * through[t]
             dz = dz_all[t]
-            dz[:, :h] = dc * u * i * (1 - i)
-            dz[:, h : 2 * h] = dc * before * f * (1 - f)
-            dz[:, 2 * h : 3 * h] = dh * tc * o * (1 - o)
-            dz[:, 3 * h :] = dc * i * (1 - u * u)
-            dh_next = dz @ p[f"wh{d}"].T
-            dc = dc * f
-        flat = dz_all.reshape(-1, 4 * h)
-        g[f"wh{d}"] = out[:-1].reshape(-1, h).T @ dz_all[1:].reshape(-1, 4 * h)
-        table = np.zeros((N_CHARS, 4 * h), np.float32)
-        order = np.argsort(x.ravel(), kind="stable")
-        chars = x.ravel()[order]
-        start = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-        table[chars[start]] = np.add.reduceat(flat[order], start, axis=0)
-        g[f"b{d}"] = flat.sum(0)
-        g[f"wx{d}"] = p["emb"].T @ table
-        g["emb"] += table @ p[f"wx{d}"].T
+            np.multiply(on_c[t, :, :, :h], dc, out=dz[:, :, :h])
+            np.multiply(on_c[t, :, :, h:], dc, out=dz[:, :, h : 2 * h])
+            np.multiply(on_o[t], dh, out=dz[:, :, 2 * h : 3 * h])
+            np.multiply(on_u[t], dc, out=dz[:, :, 3 * h :])
+            np.matmul(dz, back, out=dh)
+            dc *= f[t]
+        for k, d in enumerate("fb"):
+            dz, x = np.ascontiguousarray(dz_all[:, k]), both[:, k].ravel() - k * N_CHARS
+            flat = dz.reshape(-1, 4 * h)
+            g[f"wh{d}"] = out[:-1, k].reshape(-1, h).T @ dz[1:].reshape(-1, 4 * h)
+            table = np.zeros((N_CHARS, 4 * h), np.float32)
+            order = np.argsort(x, kind="stable")
+            chars = x[order]
+            start = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
+            table[chars[start]] = np.add.reduceat(flat[order], start, axis=0)
+            g[f"b{d}"] = flat.sum(0)
+            g[f"wx{d}"] = p["emb"].T @ table
+            g["emb"] += table @ p[f"wx{d}"].T
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        f, _ = self._run(x, "f")
-        b, _ = self._run(x[::-1], "b")
+        out, _ = self._run(x)
         h = self.hidden
-        return f @ self.p["wo"][:h] + b[::-1] @ self.p["wo"][h:] + self.p["bo"]
+        return out[:, 0] @ self.p["wo"][:h] + (out[:, 1] @ self.p["wo"][h:])[::-1] + self.p["bo"]
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood of the tags y (T, B) a window, and the gradient of its mean."""
         p, h, (t_max, n) = self.p, self.hidden, x.shape
-        f, sf = self._run(x, "f", True)
-        b, sb = self._run(x[::-1], "b", True)
-        both = np.concatenate([f, b[::-1]], 2)
+        out, saved = self._run(x, True)
+        both = np.concatenate([out[:, 0], out[::-1, 1]], 2)
         e = both @ p["wo"] + p["bo"]
         tr = np.exp(p["tr"])
         scale = np.exp(e - e.max(2, keepdims=True))
@@ -145,8 +151,7 @@ class Tagger:
         np.add.at(g["tr"], (y[:-1].ravel(), y[1:].ravel()), -1.0 / n)
         g["wo"], g["bo"] = both.reshape(-1, 2 * h).T @ de.reshape(-1, TAGS), de.sum((0, 1))
         dh = de @ p["wo"].T
-        self._back(sf, dh[:, :, :h], "f", g)
-        self._back(sb, dh[::-1, :, h:], "b", g)
+        self._back(saved, np.stack([dh[:, :, :h], dh[::-1, :, h:]], 1), g)
         return loss, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 64, rate: float = 0.012, seed: int = 7) -> list[float]:
@@ -171,53 +176,84 @@ class Tagger:
                 self.p[k] -= (lr * fix * m[k] / (np.sqrt(v[k]) + 1e-7)).astype(np.float32)
         return losses
 
-    def viterbi(self, x: np.ndarray, favour: float = 0.0) -> np.ndarray:
-        """Best tags (windows, T) of x (windows, T); favour lowers the score of 'outside'."""
+    def viterbi(self, x: np.ndarray, favours: tuple[float, ...] = (0.0,)) -> list[np.ndarray]:
+        """Best legal tags (windows, T) of x (windows, T) for each favour, which lowers the score of 'outside'.
+
+        An inside tag follows only a tag of its kind. Windows that no path but the outside one can win are told by a bound and not
+        decoded.
+        """
         e = self.emissions(np.ascontiguousarray(x.T))
-        e[:, :, 0] -= favour
+        out = []
+        for k, favour in enumerate(favours):
+            e[:, :, 0] -= favour - (favours[k - 1] if k else 0.0)
+            out.append(self._best(e))
+        return out
+
+    def _best(self, e: np.ndarray) -> np.ndarray:
         t_max, n, _ = e.shape
-        trans = np.ascontiguousarray(self.p["tr"].T)[None]
-        back = np.empty((t_max, n, TAGS), np.int8)
-        s = e[0]
+        tr = self.p["tr"].copy()
+        for k in range(2, TAGS, 2):
+            legal = np.zeros(TAGS, bool)
+            legal[k - 1 : k + 1] = True
+            tr[~legal, k] = -1e4
+        out = np.zeros((n, t_max), np.int8)
+        # A step onto another tag wins at most this over a step from outside to outside; if none can win, the path stays outside.
+        leaving = (e[:, :, 1:] + (tr.max(0)[1:] - tr[0, 0])).max(2) - e[:, :, 0]
+        leaving[0] = (e[0, :, 1:]).max(1) - e[0, :, 0]
+        home = max(0.0, float(tr[1:, 0].max() - tr[0, 0]))
+        live = np.flatnonzero((leaving > -home).any(0))
+        if not len(live):
+            return out
+        s = np.ascontiguousarray(e[:, live].transpose(0, 2, 1))
+        back = np.empty((t_max, TAGS, len(live)), np.int8)
+        starts = [0, *range(1, TAGS, 2)]
+        v = s[0].copy()
+        v[2::2] = -1e4
         for t in range(1, t_max):
-            w = s[:, None, :] + trans
-            k = w.argmax(2)
-            back[t] = k
-            s = np.take_along_axis(w, k[:, :, None], 2)[:, :, 0] + e[t]
-        out = np.empty((n, t_max), np.int8)
-        out[:, -1] = s.argmax(1)
-        rows = np.arange(n)
+            w = np.empty_like(v)
+            for j in starts:
+                c = v + tr[:, j, None]
+                k = c.argmax(0)
+                back[t, j] = k
+                w[j] = np.take_along_axis(c, k[None], 0)[0]
+            b, i = v[1::2] + np.diag(tr[1::2, 2::2])[:, None], v[2::2] + np.diag(tr[2::2, 2::2])[:, None]
+            first = b > i
+            w[2::2] = np.where(first, b, i)
+            back[t, 2::2] = np.arange(2, TAGS, 2)[:, None] - first
+            v = w + s[t]
+        rows = np.arange(len(live))
+        tag = v.argmax(0)
+        got = np.empty((len(live), t_max), np.int8)
+        got[:, -1] = tag
         for t in range(t_max - 1, 0, -1):
-            out[:, t - 1] = back[t, rows, out[:, t]]
+            tag = back[t, tag, rows]
+            got[:, t - 1] = tag
+        out[live] = got
         return out
 
 
-def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping windows over a whole text, padded at its end, and where each begins."""
+def windows(codes: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Overlapping windows over a stretch, the last one as long as what is left, and where each begins."""
     stride = WINDOW - OVERLAP
-    n = max(1, -(-(len(codes) - OVERLAP) // stride))
-    padded = np.zeros((n - 1) * stride + WINDOW, np.uint8)
-    padded[: len(codes)] = codes
-    starts = np.arange(n) * stride
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::stride], starts
+    starts = list(range(0, max(1, len(codes) - OVERLAP), stride))
+    return [codes[s : s + WINDOW] for s in starts], starts
 
 
-def reconcile(tags: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def reconcile(tags: list[np.ndarray], starts: list[int]) -> np.ndarray:
     """One tag for each character: where windows overlap, that of the window in whose middle the character lies deeper."""
-    out = np.zeros(starts[-1] + WINDOW, np.int8)
     half = OVERLAP // 2
+    out = np.zeros(starts[-1] + len(tags[-1]), np.int8)
     for k, s in enumerate(starts):
         lo = half if k else 0
-        out[s + lo : s + WINDOW] = tags[k, lo:]
-    return out[:length]
+        out[s + lo : s + len(tags[k])] = tags[k][lo:]
+    return out
 
 
-def spans(tags: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each tagged stretch; a beginning tag starts a new one."""
-    on = tags > 0
-    begin = on & ((tags % 2 == 1) | np.r_[True, ~on[:-1]])
-    # A beginning right after another beginning of the same kind is still the first character's neighbour, not a new item.
-    begin[1:] &= ~((tags[1:] % 2 == 1) & (tags[:-1] == tags[1:]))
+def spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each tagged stretch; a beginning tag, or another kind, starts a new one."""
+    kind = (tags.astype(np.int16) + 1) // 2
+    on = kind > 0
+    begin = on & ((tags % 2 == 1) | np.r_[True, kind[1:] != kind[:-1]])
     starts = np.flatnonzero(begin)
-    ends = np.flatnonzero(on & np.r_[~on[1:] | begin[1:], True]) + 1
-    return list(zip(starts.tolist(), ends.tolist(), strict=True))
+    ends = np.flatnonzero(on & np.r_[(kind[1:] != kind[:-1]) | begin[1:], True]) + 1
+    return [(int(a), int(b), KINDS[kind[a] - 1]) for a, b in zip(starts, ends, strict=True)]

@@ -1,24 +1,41 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from florascope.llm import pii, tagger
-from florascope.llm.pii_forms import exact_spans
+from florascope.llm.pii_forms import Names, check, expand, label_spans, name_spans
+
+DOCS = Path("/root/testdata/sf0.01/documents.parquet")
 
 
 def test_forms():
+    names = Names({"ulmera", "ishvala"}, {"hridmane", "wangchelo", "tamurek"})
     t = (
         "Crew lead: Ulmera T. Hridmane (954 466 64538), lives at Flat 5B, 67 Alder Lam, Pelmora. Batch 22455583354 went out. "
         "Contact person B. Wangchelo, phone 555-0106, mail veg-Wangchelo [at] postbox [dot] test. mailto:a.b+c@x-y.example. "
-        "Écrire à Mme Ishvala Tamurek, 65 rue Mill, 74637 Hadseng. DURWEN MAR held the tape. Xutea draerbyxita at 12.5 °C"
+        "Écrire à Mme Ishvala Tamurek, 65 rue Mill, 74637 Hadseng. Passport no. X12345678. Xutea draerbyxita at 12.5 °C"
     )
-    got = [(k, t[a:b]) for a, b, k in exact_spans(t)]
+    got = [(k, t[a:b]) for a, b, k in label_spans(t, names)[0]]
     assert got == [
         ("name", "Ulmera T. Hridmane"), ("id", "954 466 64538"), ("address", "Flat 5B, 67 Alder Lam, Pelmora"), ("name", "B. Wangchelo"),
         ("phone", "555-0106"), ("email", "veg-Wangchelo [at] postbox [dot] test"), ("email", "a.b+c@x-y.example"), ("name", "Ishvala Tamurek"),
-        ("address", "65 rue Mill, 74637 Hadseng"), ("name", "DURWEN MAR"),
+        ("address", "65 rue Mill, 74637 Hadseng"), ("id", "X12345678"),
     ]
 
 
+def test_names():
+    names = Names({"karma", "sonam"}, {"dorji", "lhamo"})
+    texts = ["Karma Wangdi and Sonam Wangdi", "Karma Dorji, Pema Dorji, Pema Lhamo", "At Karma Dorji stands Upper Wall"]
+    grown = expand(texts, names)
+    assert "wangdi" in grown.family and "pema" in grown.given and not grown.has("upper")
+    t = "Later Karma Dorji and DORJI, K. met Karma Unheard near Upper Skarn"
+    sure, doubt = name_spans(t, names)
+    assert [t[a:b] for a, b in sure] == ["Karma Dorji", "DORJI, K."] and [t[a:b] for a, b in doubt] == ["Karma Unheard"]
+    assert check("Signed, Dr. Karma Dorji.", 0, 23, "name") == (12, 23)
+    assert check("only Karma here", 5, 10, "name") is None and check("see 12 cm", 4, 6, "phone") is None
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     m = tagger.Tagger(5, 4)
@@ -27,7 +44,7 @@ def test_gradient():
     _, g = m.loss_and_gradient(x, y)
     for k in ("whf", "whb", "wo", "tr", "bf"):
         i = tuple(rng.integers(0, s) for s in m.p[k].shape)
-        old, e = m.p[k][i], 1e-3
+        old, e = m.p[k][i], 1e-2
         m.p[k][i] = old + e
         up = m.loss_and_gradient(x, y)[0]
         m.p[k][i] = old - e
@@ -36,43 +53,106 @@ def test_gradient():
         assert (up - down) / 2 / e == pytest.approx(g[k][i], abs=2e-3)
 
 
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    m = tagger.Tagger(5, 4)
+    m.p["wo"] *= 6
+    m.p["tr"] = rng.normal(size=(tagger.TAGS, tagger.TAGS)).astype(np.float32)
+    x = rng.integers(1, tagger.N_CHARS, (40, 4)).astype(np.uint8)
+    e = m.emissions(np.ascontiguousarray(x.T))
+    paths = np.stack(np.meshgrid(*[np.arange(tagger.TAGS)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    prev = np.concatenate([np.zeros((len(paths), 1), int), paths[:, :-1]], 1)
+    legal = ((paths % 2 == 1) | (paths == 0) | (prev == paths) | (prev == paths - 1)).all(1)
+    paths = paths[legal & ~((paths[:, 0] > 0) & (paths[:, 0] % 2 == 0))]
+    for favour, got in zip((0.0, 2.0), m.viterbi(x, (0.0, 2.0)), strict=True):
+        s = e - favour * (np.arange(tagger.TAGS) == 0)
+        score = sum(s[t][:, paths[:, t]] for t in range(4)) + sum(m.p["tr"][paths[:, t], paths[:, t + 1]] for t in range(3))
+        mine = [int(np.flatnonzero((paths == g).all(1))[0]) for g in got]
+        assert np.allclose(score[np.arange(40), mine], score.max(1), atol=1e-4)
+
+
 def test_windows_cover_and_reconcile():
-    for n in (0, 1, 87, 128, 129, 500):
-        w, starts = tagger.windows(np.arange(1, n + 1, dtype=np.uint8))
-        tags = np.ones(w.shape, np.int8)
-        assert len(tagger.reconcile(tags, starts, n)) == n and tagger.reconcile(tags, starts, n).sum() == n
-    assert tagger.spans(np.array([0, 1, 2, 2, 0, 3, 4, 1, 2])) == [(1, 4), (5, 7), (7, 9)]
-
-
-GIVEN, FAMILY = ["Ulmera", "Tobrek", "Garund", "Belor", "Noravi"], ["Hridmane", "Okarvel", "Tamurek", "Pellowar"]
-
-
-def _texts(n, seed):
-    rng = np.random.default_rng(seed)
-    pick = lambda x: x[rng.integers(len(x))]
-    out = []
-    for _ in range(n):
-        g, f, num = pick(GIVEN), pick(FAMILY), rng.integers(100, 999)
-        parts = [
-            f"Recorded by: {g} {f}.", f"Questions go to {f.lower()}{num}@veg.example.", f"Ring 555-0{num} before going up.",
-            f"Wages were paid to Mr {g} {f}, citizen ID FS-{num}{num}-K.", f"Moss covered {num} stones near Sable bank.",
-            f"Spare keys hang at {num} Granary Lane, Hadseng {num}10.", "Batch 22455583354 went to the office with Xutea draerbyxita.",
-        ]
-        out.append(" ".join(pick(parts) for _ in range(rng.integers(1, 9))))
-    return out
-
-
-def test_held_out_and_edges(spark):
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(_texts(400, 1))], "doc_id long, text string")
-    model = pii.train(train, "text", 220)
-    held = _texts(120, 2)
-    long = " ".join(_texts(300, 3))
-    rows = [*enumerate(held), (900, None), (901, ""), (902, "  "), (903, long), (904, held[0]), (904, held[0])]
+    for n in (1, 87, 160, 161, 500):
+        w, starts = tagger.windows(np.arange(1, n + 1, dtype=np.uint16))
+        got = tagger.reconcile([np.ones(len(x), np.int8) for x in w], starts)
+        assert len(got) == n and got.sum() == n
+    assert tagger.spans(np.array([0, 1, 2, 2, 0, 3, 4, 1, 2])) == [(1, 4, "email"), (5, 7, "phone"), (7, 9, "email")]
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    """Trained on documents of the small test data with their list of staff, in fewer steps than in production."""
+    if not DOCS.exists():
+        pytest.skip("no test data")
+    staff = spark.read.parquet(str(DOCS.parent / "field_staff.parquet")).selectExpr("given_name given", "family_name family")
+    return pii.train(spark.read.parquet(str(DOCS)), "text", staff, 1500)
+
+
+def found(model, texts):
+    return [[(k, t[a:b]) for a, b, k in pii.checked(t, x, y, model.names)] for t, x, y in zip(texts, *pii.decoded(model, texts), strict=True)]
+
+
+#: Sentences and items that occur neither in the documents nor in the sentences made up for training.
+UNSEEN = [
+    ("{} kindly lent us the auger.", "name"), ("Give my regards to {} and the children.", "name"), ("It was {} who repaired the tripod last spring.", "name"),
+    ("Photographs taken by {} show the fence.", "name"), ("The samples were handed over to {} on arrival.", "name"), ("We thank {} for the careful translation.", "name"),
+    ("If lost, return it to {}; a reward is offered.", "address"), ("The shed behind {} is locked.", "address"), ("Our guest stayed overnight at {}.", "address"),
+    ("You can reach me on mobile {} after six.", "phone"), ("For keys, phone {} in the morning.", "phone"), ("The guard's tel. {} is on the gate.", "phone"),
+    ("He showed passport no. {} at the border.", "id"), ("Her citizen ID {} had expired.", "id"), ("The form lists identity card {} twice.", "id"),
+    ("Corrections may be sent to {} at any time.", "email"), ("I wrote to {} but got no reply.", "email"), ("Ask {} for the shapefiles.", "email"),
+]
+ITEMS = {
+    "name": ["Dawa Gyeltshen", "Kezang Choden", "Helen Whitfield", "T. Yoezer", "Samuel P. Thorne", "Martha Eriksen", "Yeshey Lhendup", "Oscar Lindqvist"],
+    "address": ["21 Birch Lane, Norwood 45110", "House No. 7, Lotus Market, Wangdue", "88 Harbour Road, Upper Selden 20417", "5/2 Clover Street, Marlow"],
+    "phone": ["555-0143", "+975 17 604 221", "(02) 322-5117", "00975 17604221"],
+    "id": ["X4412907", "11407002231", "FS-300214-M", "3-21-09-118820"],
+    "email": ["dawa.g@ruralnet.example", "kchoden77@forest.test", "helen_w [at] uplands [dot] example", "t.yoezer(at)mail.example"],
+}
+
+
+def test_unseen_sentences(model):
+    """On sentences that no training text has: recall of 0.9 for numbers, mail and addresses and for listed names, precision of 0.9.
+
+    Of names that are on no list, in such sentences, about six of ten are found after the full training, fewer after this one.
+    """
+    cases = [(s.format(v), k, v) for s, k in UNSEEN for v in ITEMS[k]]
+    got = found(model, [t for t, _, _ in cases])
+    hit = {k: [(k, v) in g for (_, c, v), g in zip(cases, got, strict=True) if c == k] for k in ITEMS}
+    for k, x in hit.items():
+        assert sum(x) >= (0.3 if k == "name" else 0.9) * len(x), (k, sum(x), len(x))
+    assert sum(sum(x) for x in hit.values()) >= 0.9 * sum(len(g) for g in got)
+    words = [v.lower().replace(".", "").split() for v in ITEMS["name"]]
+    listed = pii.Model(model.tagger, Names(model.names.given | {w[0] for w in words}, model.names.family | {w[-1] for w in words}))
+    names = [(t, v) for t, k, v in cases if k == "name"]
+    assert sum(("name", v) in g for (_, v), g in zip(names, found(listed, [t for t, _ in names]), strict=True)) >= 0.9 * len(names)
+
+
+def test_no_items_in_plain_text(model):
+    plain = [
+        "A specimen of Kadaulanthes caeldianina was pressed under herbarium barcode 28146680295.", "Coordinates were read as 90.7604, 28.1442 with an accuracy of 9 m.",
+        "Permit no. FP/2016/37742 covers the strata trees and shrubs only.", "From Lower Hask the plot can be found by following the wall for 4 paces.", "样地 NP00000385：海拔 376 米，乔木 99 株。",
+    ]
+    assert found(model, plain) == [[]] * len(plain)
+
+
+def test_found_rows_are_decoded_spans(model, spark):
+    texts = [r.text for r in spark.read.parquet(str(DOCS)).where("text is not null").select("text").limit(400).collect()]
+    strict, lenient = pii.decoded(model, texts)
+    rows = [(t, x, s, y) for t, s, y in zip(texts, strict, lenient, strict=True) for x in pii.checked(t, s, y, model.names)]
+    same = sum(x in s or x in y for _, x, s, y in rows)
+    touching = all(any(a < x[1] and x[0] < b and k == x[2] for a, b, k in [*s, *y]) for _, x, s, y in rows)
+    assert touching and same >= 0.95 * len(rows) > 50
+
+
+def test_edges(model, spark):
+    one = "Please write to a.b@veg.example or ring 555-0187, says Ulmera Tamurek."
+    long = " ".join(f"{one} Batch 22455583354 went out." for _ in range(2000))
+    rows = [(1, one), (900, None), (901, ""), (902, "  "), (903, long), (904, one), (904, one)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pii_kind string")
     got = {tuple(r) for r in pii.find_personal(df, "doc_id", "text", model).collect()}
-    want = {(i, k, t[a:b]) for i, t in rows if t for a, b, k in exact_spans(t)}
-    assert got <= want and len(got) >= 0.97 * len(want)
+    assert {i for i, _, _ in got} == {1, 903, 904}
+    assert {(k, v) for i, k, v in got if i == 1} >= {("email", "a.b@veg.example"), ("phone", "555-0187")}
     masked = {r.doc_id: r for r in pii.mask_personal(df, "doc_id", "text", model).collect()}
     assert masked[900].text is None and masked[901].text == "" and masked[902].text == "  "
-    assert "555-0" not in masked[903].text and "Batch 22455583354" in masked[903].text and "[PHONE]" in masked[903].text
+    assert "555-0187" not in masked[903].text and masked[903].text.count("Batch 22455583354") == 2000 and "[PHONE]" in masked[903].text
     assert pii.find_personal(df.limit(0), "doc_id", "text").count() == 0
