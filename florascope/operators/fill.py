@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import broadcast_if_small, stage
 
 #: Weight of a record's estimate against an observed value when hubs average their members.
 ESTIMATE = 0.25
+#: Missing values that may ask one hub before it is taken out of the shuffled join.
+HOT_HUB = 50_000
 
 
 @dataclass(frozen=True)
@@ -41,54 +43,74 @@ def _long(df: DataFrame, row_id: str, values: dict[str, Column], classes: dict[s
 def propagate_fill(
     df: DataFrame, row_id: str, values: dict[str, Column], classes: dict[str, Column], hubs: list[Hub], rounds: int = 3
 ) -> DataFrame:
-    """(row_id, field, value, label, was_filled) for each row and field: value of numbers, label of classes.
+    """(row_id, field, value, label, was_filled, confidence) for each row and field: value of numbers, label of classes.
 
     values and classes give each field's observed value, null where it is missing; not-a-number says that there is a value but none
-    that can be averaged (it comes out as null, not marked). was_filled marks the missing ones. Where no hub
-    has an observed member, the whole table's average or commonest class is put in; a field without any observed value stays null
-    and marked. Ties between classes go to the lowest. row_id has to be unique; an empty table gives no rows; columns of df that
-    aren't named don't matter.
+    that can be averaged (it comes out as null, not marked). was_filled marks the missing ones. confidence, of filled ones only, is
+    the share of the class among its hubs, or the weight W of a number's hubs as W / (W + 1). Where no hub has an observed member, the
+    whole table's average or commonest class is put in with confidence 0; a field without any observed value stays null and marked.
+    Ties between classes go to the lowest. row_id has to be unique; an empty table gives no rows; columns of df that aren't named
+    don't matter.
+
+    A hub that more than HOT_HUB missing values ask is sent to the askers' partitions instead of being a key of the join.
     """
-    long = stage(_long(df, row_id, values, classes), "fields")
+    # What is read many times is written once: values, classes and hub keys, not the plan that makes them.
+    named = {f"v{i}": c.cast("double") for i, c in enumerate(values.values())} | {f"c{i}": c for i, c in enumerate(classes.values())}
+    named |= {f"h{i}": h.key.cast("string") for i, h in enumerate(hubs)}
+    rec = stage(df.select(F.col(row_id).alias("id"), *[c.alias(n) for n, c in named.items()]), "records")
+    long = _long(rec, "id", {f: F.col(f"v{i}") for i, f in enumerate(values)}, {f: F.col(f"c{i}") for i, f in enumerate(classes)})
     present, missing = long.where("value is not null"), long.where("value is null").select("id", "field")
     observed = present.where(~F.isnan("value"))
+    is_class = F.col("field").isin(*classes) if classes else F.lit(False)
     keys = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.concat(F.lit(h.name + ":"), h.key.cast("string")).alias("hub"), F.lit(h.weight).alias("w"))
-        for h in hubs for f in h.fields
+        F.struct(F.lit(f).alias("field"), F.concat(F.lit(h.name + ":"), F.col(f"h{i}")).alias("hub"), F.lit(h.weight).alias("w"))
+        for i, h in enumerate(hubs) for f in h.fields
     ])
-    edges = df.select(F.col(row_id).alias("id"), F.explode(keys).alias("e")).select("id", "e.*").where("hub is not null")
-    wanting = stage(edges.join(missing, ["id", "field"], "left_semi"), "wanting")
-    seen = edges.join(observed, ["id", "field"]).groupBy("field", "hub", "label").agg(F.sum("value").alias("s"))
-    # Only hubs that some missing value hangs on can pass anything on.
-    asked = wanting.select("field", "hub").distinct()
-    seen = stage(seen.join(asked, ["field", "hub"], "left_semi"), "seen")
-    counts = edges.join(observed.select("id", "field"), ["id", "field"], "left_semi").groupBy("field", "hub").agg(F.count("*").alias("n"))
-    counts = stage(counts.join(asked, ["field", "hub"], "left_semi"), "counts")
-    totals, members = seen, counts.select("field", "hub", F.col("n").cast("double").alias("n"))
-    estimate = None
+    edges = rec.select("id", F.explode(keys).alias("e")).select("id", "e.*").where("hub is not null")
+    wanting = edges.join(missing, ["id", "field"], "left_semi")
+    asked = stage(wanting.groupBy("field", "hub").agg(F.count("*").alias("asks")), "asked")
+    hot = asked.where(F.col("asks") > HOT_HUB).select("field", "hub")
+    n_hot = hot.count()
+    hot = broadcast_if_small(hot.withColumn("hot", F.lit(True)), n_hot, 80)
+    wanting = stage(wanting.join(hot, ["field", "hub"], "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "wanting")
+    # Of each hub that some missing value hangs on: sum and number of its observed members, for classes by label.
+    seen = edges.join(observed, ["id", "field"]).groupBy("field", "hub", "label").agg(F.sum("value").alias("s"), F.count("*").cast("double").alias("n"))
+    seen = stage(seen.join(asked.select("field", "hub"), ["field", "hub"], "left_semi"), "seen")
+    totals, estimate = seen, None
     for r in range(rounds):
         if estimate is not None:
-            passed = wanting.join(estimate, ["id", "field"])
-            totals = seen.unionByName(passed.select("field", "hub", "label", (F.col("value") * ESTIMATE).alias("s"))).groupBy(
-                "field", "hub", "label").agg(F.sum("s").alias("s"))
-            more = wanting.join(estimate.select("id", "field").distinct(), ["id", "field"], "left_semi").groupBy("field", "hub").agg(
-                (F.count("*") * ESTIMATE).alias("n"))
-            members = counts.select("field", "hub", F.col("n").cast("double").alias("n")).unionByName(more).groupBy("field", "hub").agg(
-                F.sum("n").alias("n"))
-        weight = wanting.join(members, ["field", "hub"]).groupBy("id", "field").agg(F.sum("w").alias("total"))
-        share = totals.join(members, ["field", "hub"]).select("field", "hub", "label", (F.col("s") / F.col("n")).alias("mean"))
-        given = wanting.join(share, ["field", "hub"]).groupBy("id", "field", "label").agg(F.sum(F.col("w") * F.col("mean")).alias("value"))
-        estimate = stage(given.join(weight, ["id", "field"]).select("id", "field", "label", (F.col("value") / F.col("total")).alias("value")), f"round{r}")
-    best = lambda x: x.groupBy("id", "field").agg(
-        F.min(F.struct((-F.col("value")).alias("v"), "label")).alias("b")).select("id", "field", (-F.col("b.v")).alias("value"), F.col("b.label").alias("label"))
+            passed = wanting.join(estimate, ["id", "field"]).select(
+                "field", "hub", "label", (F.col("value") * ESTIMATE).alias("s"), (F.when(is_class, F.col("value")).otherwise(1.0) * ESTIMATE).alias("n"))
+            totals = seen.unionByName(passed).groupBy("field", "hub", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        hub = Window.partitionBy("field", "hub")
+        summed = totals.select("field", "hub", "label", "s", F.sum("n").over(hub).alias("n"), (F.col("label") == F.min("label").over(hub)).alias("first"))
+        # The row without a label carries the hub's weight itself.
+        means = summed.select("field", "hub", F.explode(F.array(
+            F.struct(F.col("label"), (F.col("s") / F.col("n")).alias("mean")),
+            F.struct(F.lit(None).cast("string").alias("label"), F.when(F.col("first"), 1.0).alias("mean")),
+        )).alias("m")).select("field", "hub", "m.*").where("mean is not null")
+        cold = wanting.where("not hot").join(means, ["field", "hub"]).select("id", "field", "label", (F.col("w") * F.col("mean")).alias("v"))
+        if n_hot:
+            of_hot = stage(means.join(hot, ["field", "hub"], "left_semi"), "hot")
+            warm = wanting.where("hot").join(broadcast_if_small(of_hot, of_hot.count(), 120), ["field", "hub"])
+            cold = cold.unionByName(warm.select("id", "field", "label", (F.col("w") * F.col("mean")).alias("v")))
+        given = cold.groupBy("id", "field", "label").agg(F.sum("v").alias("v"))
+        total = F.max(F.when(F.col("label").isNull(), F.col("v"))).over(Window.partitionBy("id", "field"))
+        given = given.withColumn("weight", total).where("label is not null")
+        estimate = given.select("id", "field", "label", (F.col("v") / F.col("weight")).alias("value"), "weight")
+        estimate = stage(estimate, f"round{r}")
+    best = estimate.groupBy("id", "field").agg(F.min(F.struct((-F.col("value")).alias("v"), "label", "weight")).alias("b")).select(
+        "id", "field", (-F.col("b.v")).alias("value"), F.col("b.label").alias("label"), F.col("b.weight").alias("weight"))
     whole = observed.groupBy("field", "label").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     whole = whole.groupBy("field").agg(F.min(F.struct((-F.col("n")).alias("n"), "label", "mean")).alias("b")).select(
         "field", F.col("b.label").alias("all_label"), F.col("b.mean").alias("all_mean"))
+    sure = F.when(is_class, F.col("value")).otherwise(F.col("weight") / (F.col("weight") + 1))
     # One row a field: as many rows as the caller has named fields.
-    filled = missing.join(best(estimate), ["id", "field"], "left").join(F.broadcast(whole), "field", "left").select(
-        "id", "field", F.coalesce("value", "all_mean").alias("value"), F.coalesce("label", "all_label").alias("label"), F.lit(True).alias("was_filled"))
+    filled = missing.join(best, ["id", "field"], "left").join(F.broadcast(whole), "field", "left").select(
+        "id", "field", F.coalesce("value", "all_mean").alias("value"), F.coalesce("label", "all_label").alias("label"), F.lit(True).alias("was_filled"),
+        F.coalesce(sure, F.lit(0.0)).alias("confidence"))
     kept = F.when(~F.isnan("value"), F.col("value")).alias("value")
-    out = present.select("id", "field", kept, "label", F.lit(False).alias("was_filled")).unionByName(filled)
-    is_class = F.col("field").isin(*classes) if classes else F.lit(False)
+    out = present.select("id", "field", kept, "label", F.lit(False).alias("was_filled"), F.lit(None).cast("double").alias("confidence")).unionByName(filled)
     return out.select(
-        F.col("id").alias(row_id), "field", F.when(~is_class, F.col("value")).alias("value"), F.when(is_class, F.col("label")).alias("label"), "was_filled")
+        F.col("id").alias(row_id), "field", F.when(~is_class, F.col("value")).alias("value"), F.when(is_class, F.col("label")).alias("label"),
+        "was_filled", "confidence")
