@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_name, trim_blanks
 from ..session import broadcast_if_small, read, spread, stage
 from .bpe import encode_texts
-from .leakage import leaked_passages
+from .leakage import leaked_passages, near_passages
 from .linking import link_names
 from .pairs import pair_counts
 from .pii import find_personal, mask_personal
@@ -97,6 +97,11 @@ def _staff(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "field_staff").select(F.col("given_name").alias("given"), F.col("family_name").alias("family"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of an item that words were put into or left out of, so that no exact phrase is left."""
+    return near_passages(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "item_text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_personal(read(spark, d, "documents"), "doc_id", "text", names=_staff(spark, d))
 
@@ -124,7 +129,7 @@ x AS (SELECT name_a, name_b, fa.n AS n_a, fb.n AS n_b, n_ab, total.n AS nn
 """
 _MARK = "CASE WHEN count(DISTINCT plot) < 3 THEN 'rare' WHEN 5 * count(DISTINCT plot) > max(total.n) THEN 'common' END"
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_all_pairs": p4_all_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_masked": p9_masked}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_all_pairs": p4_all_pairs, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p8_near": p8_near, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p4_found": _PAIRS + "SELECT name_a, name_b FROM x WHERE n_ab * nn >= 6 * n_a * n_b",
     "p4_pairs": _PAIRS + """SELECT name_a, name_b, n_a, n_b, n_ab, round(n_ab * nn::DOUBLE / (n_a * n_b), 6) AS lift,
@@ -132,6 +137,19 @@ SQL = {
                / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE))), 6) AS log_odds FROM x""",
     "p5_found": _NAMES + f"y AS (SELECT name AS species_name, {_MARK} AS mark FROM tokens, total GROUP BY name) SELECT * FROM y WHERE mark IS NOT NULL",
     "p5_counts": _NAMES + f"y AS (SELECT name AS species_name, count(*) AS n_records, count(DISTINCT plot) AS n_plots, {_MARK} AS mark FROM tokens, total GROUP BY name) SELECT * FROM y",
+    "p8_report": r"""
+WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(item_text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+dg AS (SELECT doc_id, s, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d)),
+ig AS (SELECT item_id, s, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i)),
+met AS (SELECT DISTINCT doc_id, item_id, dg.s - ig.s AS delta FROM dg JOIN ig USING (g)),
+e AS (SELECT met.*, p, i.w[p] = coalesce(CASE WHEN p + delta > 0 THEN d.w[p + delta] END, '') AS same, list_contains(d.w[greatest(1, p + delta - 3):greatest(0, p + delta + 3)], i.w[p]) AS close
+      FROM met JOIN d USING (doc_id) JOIN i USING (item_id), unnest(range(1, len(i.w) + 1)) AS u(p)),
+runs AS (SELECT doc_id, item_id, delta, count(*) AS run FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, delta ORDER BY p) AS island FROM e WHERE same)
+         GROUP BY doc_id, item_id, delta, island),
+a AS (SELECT doc_id, item_id, delta, count(*) FILTER (same) AS aligned, count(*) FILTER (close) AS near FROM e GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, longest_run, aligned_words, near_words
+FROM (SELECT doc_id, item_id, max(run) AS longest_run FROM runs GROUP BY 1, 2) JOIN (SELECT doc_id, item_id, max(aligned) AS aligned_words, max(near) AS near_words FROM a GROUP BY 1, 2) USING (doc_id, item_id)""",
     "p8_found": r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(item_text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),

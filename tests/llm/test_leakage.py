@@ -1,6 +1,7 @@
 import random
 
-from florascope.llm.leakage import leaked_passages
+from florascope.llm import leakage
+from florascope.llm.leakage import leaked_passages, near_passages
 
 
 def brute(docs, items, run):
@@ -33,3 +34,21 @@ def test_against_brute_force(spark):
     assert all(r.aligned_words >= r.longest_run >= 12 for r in got)
     assert leaked_passages(d.limit(0), "doc_id", "text", i, "item_id", "item_text").count() == 0
     assert leaked_passages(d, "doc_id", "text", i.limit(0), "item_id", "item_text").count() == 0
+
+
+def test_gaps_and_salts(spark, monkeypatch):
+    words = "moss covered the northern wall of an old lime kiln where seven ferns grew beside three tall larches".split()
+    put_in = " ".join(words[:6] + ["very"] + words[6:12] + ["rather"] + words[12:])
+    left_out = " ".join(words[:8] + words[9:])
+    far = " ".join(words[:6] + ["one two three four five"] + words[6:12])
+    docs = [(1, "x " + put_in), (2, left_out), (3, far), (4, "so " + " ".join(words) + " it said"), (5, " ".join(reversed(words)))]
+    docs += [(100 + i, "moss covered the kiln") for i in range(50)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, item_text string")
+    args = (d, "doc_id", "text", i, "item_id", "item_text")
+    exact = {r.doc_id: r for r in leaked_passages(*args).collect()}
+    assert set(exact) == {4} and exact[4].longest_run == exact[4].near_words == len(words)
+    near = {r.doc_id: r for r in near_passages(*args).collect()}
+    assert set(near) == {1, 2} and all(r.near_run >= 12 > r.longest_run for r in near.values())
+    monkeypatch.setattr(leakage, "broadcast_if_small", lambda df, rows, width: df)
+    assert {r.doc_id for r in leaked_passages(*args).collect()} == {4} and {r.doc_id for r in near_passages(*args).collect()} == {1, 2}
