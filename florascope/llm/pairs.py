@@ -6,7 +6,9 @@ first code. Chunks are shuffled by a hash of the code and sorted by first code,
 merge: codes below the first code of the next chunk are final, so it holds one chunk of each run at a time, adds up equal
 codes and passes them on.
 
-A basket is never one task's affair: one with more than BLOCK items is cut into blocks, and pairs of blocks are separate rows.
+A basket is never one task's affair: one with more than BLOCK items is cut into blocks, and each pair of blocks is a tile (basket, i, j)
+that is a key of its own in the join that brings the two blocks together. An item with more than HOT_ITEM rows is numbered without
+being a key of a shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, dense_ids, shuffle_partitions, stage
+from ..session import BROADCAST_BYTES, broadcast_if_small, dense_ids, shuffle_partitions, stage
 
 BLOCK = 512
+HOT_ITEM = 1_000_000
 #: Codes in a task's buffer before it is sorted (8 bytes each), in a chunk of a run, and in the reducer before it passes on.
 RUN, CHUNK, PENDING = 1 << 23, 1 << 14, 1 << 20
+#: Pairs, before equal ones are added up, for each reducer.
+PART_PAIRS = 1 << 28
 _TRIANGLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -142,6 +147,31 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle(None)
 
 
+def _numbered(tokens: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """(basket, id) of tokens (basket, item). Where words (item, id, rows) are too many to broadcast, those with more than HOT_ITEM
+    rows are: there are at most as many as rows / HOT_ITEM."""
+    small = broadcast_if_small(words.drop("rows"), n_words, 80)
+    if n_words * 80 <= BROADCAST_BYTES:
+        return tokens.join(small, "item").select("basket", "id")
+    hot = words.where(F.col("rows") > HOT_ITEM).drop("rows")
+    n_hot = hot.count()
+    if not n_hot:
+        return tokens.join(small, "item").select("basket", "id")
+    hot = broadcast_if_small(hot.withColumnRenamed("id", "hot"), n_hot, 80)
+    x = stage(tokens.join(hot, "item", "left"), "numbered")
+    rest = x.where("hot is null").drop("hot").join(words.where(F.col("rows") <= HOT_ITEM).drop("rows"), "item").select("basket", "id")
+    return rest.unionByName(x.where("hot is not null").select("basket", F.col("hot").alias("id")))
+
+
+def tiles(blocks: DataFrame) -> DataFrame:
+    """(items, others) of each pair of blocks i <= j of a basket, others empty for i = j. A tile is its own key of the join."""
+    i, j = F.col("block"), F.col("blocks") - 1
+    left = blocks.select("basket", i.alias("i"), F.explode(F.sequence(i, j)).alias("j"), "items")
+    right = blocks.select("basket", F.explode(F.sequence(F.lit(0), i)).alias("i"), i.alias("j"), F.col("items").alias("others"))
+    both = left.join(right, ["basket", "i", "j"])
+    return both.select("items", F.when(F.col("i") < F.col("j"), F.col("others")).otherwise(F.array().cast("array<int>")).alias("others"))
+
+
 def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_lift: float | None = None) -> DataFrame:
     """(name_a, name_b, n_a, n_b, n_ab, n_baskets, lift, log_odds) for pairs name_a < name_b on at least min_pair baskets.
 
@@ -157,9 +187,9 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_li
     words, n_words = dense_ids(tokens.groupBy("item").agg(F.count("*").alias("rows")), "item")
     if n_words >= 1 << 31:
         raise ValueError("more than 2^31 distinct items don't fit a 64-bit pair code")
-    words = words.select("item", F.col("id").cast("int").alias("id"))
-    coded = tokens.join(broadcast_if_small(words, n_words, 80), "item").select("basket", "id").distinct()
-    coded = stage(coded, "tokens")
+    counted = words.select("item", F.col("id").cast("int").alias("id"), "rows")
+    words = counted.drop("rows")
+    coded = stage(_numbered(tokens, counted, n_words).distinct(), "tokens")
     sizes = coded.groupBy("basket").agg(F.count("*").alias("size"))
     n_baskets, = sizes.agg(F.count("*")).first()
     freq = coded.groupBy("id").agg(F.count("*").alias("n"))
@@ -169,7 +199,8 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_li
     freq = stage(freq.where(fit), "freq")
     n_freq = freq.count()
     kept = coded.join(broadcast_if_small(freq.select("id"), n_freq, 16), "id", "left_semi")
-    lists = kept.groupBy("basket", F.lit(0).alias("block")).agg(F.count("*").alias("size"))
+    lists = kept.groupBy("basket").agg(F.count("*").alias("size"))
+    pairs = lists.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0.0))).first()[0]
     large = lists.where(F.col("size") > BLOCK).select("basket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     large = stage(large, "large")
     hint = broadcast_if_small(large, large.count(), 64)
@@ -177,17 +208,14 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_pair: int = 1, min_li
         kept.join(hint, "basket", "left_anti").groupBy("basket").agg(F.collect_list("id").alias("items"))
         .where(F.size("items") > 1).select("items", F.array().cast("array<int>").alias("others"))
     )
+    # As many reducers as the pairs at most ask for, so that none merges more than PART_PAIRS of them.
+    n = max(shuffle_partitions(spark), min(1 << 15, int(pairs) // PART_PAIRS))
     # The block of an item is a hash of its id, so no block holds more than a few times BLOCK items.
     blocks = stage(
         kept.join(hint, "basket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .groupBy("basket", "block").agg(F.collect_list("id").alias("items")), "blocks",
+        .groupBy("basket", "block", "blocks").agg(F.collect_list("id").alias("items")), "blocks",
     )
-    two = blocks.alias("l").join(blocks.alias("r"), (F.col("l.basket") == F.col("r.basket")) & (F.col("l.block") <= F.col("r.block")))
-    n = shuffle_partitions(spark)
-    big = two.select(
-        F.col("l.items").alias("items"),
-        F.when(F.col("l.block") < F.col("r.block"), F.col("r.items")).otherwise(F.array().cast("array<int>")).alias("others"),
-    ).repartition(n)
+    big = tiles(blocks)
     runs = small.unionByName(big).mapInArrow(lambda x: _emit(x, 8 * n), "part int, first long, size int, codes binary, counts binary")
     merged = runs.repartition(n, "part").sortWithinPartitions("part", "first").mapInArrow(_merge, "code long, n long")
     low = merged.where(F.col("n") >= min_pair).select(

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, trim_blanks
-from ..session import broadcast_if_small, read, spread, stage
+from ..session import broadcast_if_small, read, shuffle_partitions, spread, stage
 from .bpe import encode_texts
 from .leakage import leaked_passages, near_passages
-from .linking import link_names
+from .linking import BINOMIAL, link_names
 from .pairs import pair_counts
 from .pii import find_personal, mask_personal
-from .terms import mark_terms, term_counts
+from .terms import mark_terms, record_sizes, salts_for, term_counts
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -38,8 +38,9 @@ def p4_all_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     names = _names(spark, d)
-    n = names.select("plot").distinct().count()
-    return mark_terms(term_counts(names, "name", "plot"), n).withColumnRenamed("term", "species_name")
+    n, rows, largest = record_sizes(names, "plot")
+    salts = salts_for(rows, largest, shuffle_partitions(spark))
+    return mark_terms(term_counts(names, "name", "plot", salts), n).withColumnRenamed("term", "species_name")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +66,8 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
     """(name, entry, slips, jaccard) of every distinct spelling that is neither blank nor a checklist name as it is."""
     veg = read(spark, d, "veg_long_csv").select(F.col("species_name").alias("name"))
     listed = read(spark, d, "species_checklist").select(F.col("species_name").alias("name"))
-    typed = veg.where(trim_blanks(F.col("name")) != "").distinct().join(F.broadcast(listed), "name", "left_anti")
-    return link_names(typed, _entries(spark, d))
+    typed = veg.where(trim_blanks(F.col("name")) != "").distinct().join(broadcast_if_small(listed, listed.count(), 96), "name", "left_anti")
+    return link_names(typed, _entries(spark, d), rules=BINOMIAL)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -87,14 +87,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield seen.rows()
 
 
-def term_counts(df: DataFrame, term: str, record: str, salts: int = 16) -> DataFrame:
-    """(term, occurrences, records) of every distinct term of the whole table.
+def record_sizes(df: DataFrame, record: str) -> tuple[int, int, int]:
+    """Number of records, of their rows, and rows of the largest one; a null record doesn't count."""
+    x = df.where(F.col(record).isNotNull()).groupBy(record).agg(F.count("*").alias("n"))
+    return x.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+
+
+def salts_for(rows: int, largest: int, partitions: int) -> int:
+    """Parts that records are cut into, so that the largest one's fill no more than a partition each: a record of s times a
+    partition's rows asks for s parts (times four, as terms don't spread evenly)."""
+    return max(16, min(1 << 16, 4 * -(-largest * partitions // max(rows, 1))))
+
+
+def term_counts(df: DataFrame, term: str, record: str, salts: int | None = None) -> DataFrame:
+    """(term, occurrences, records) of every distinct term of the whole table. salts: parts a record is cut into; from the sizes if
+    not given.
 
     A null term or record doesn't count; empty strings are terms like others. Repeated rows are occurrences of their own. An
     empty table gives no rows. Other columns of df, whatever their names, aren't read.
     """
     tokens = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("string").alias("record")).dropna()
     n = shuffle_partitions(df.sparkSession)
+    if salts is None:
+        _, rows, largest = record_sizes(tokens, "record")
+        salts = salts_for(rows, largest, n)
     parted = tokens.repartition(n, F.xxhash64("record", F.pmod(F.xxhash64("term"), F.lit(salts)))).sortWithinPartitions("record")
     partial = parted.mapInArrow(_count, "term string, occurrences long, records long")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

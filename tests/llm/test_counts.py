@@ -98,3 +98,32 @@ def test_last_seen_across_batches(monkeypatch):
                 o, n = got.get(r["term"], (0, 0))
                 got[r["term"]] = o + r["occurrences"], n + r["records"]
         assert got == terms.brute_counts(pd.DataFrame({"w": words, "r": records}), "w", "r")
+
+
+def test_one_large_basket_is_many_tiles(spark, monkeypatch):
+    """A basket of 2,000 items among small ones: tiles are even, the counts those of brute force; hot items are numbered aside."""
+    monkeypatch.setattr(pairs, "BLOCK", 64)
+    monkeypatch.setattr(pairs, "HOT_ITEM", 50)
+    monkeypatch.setattr(pairs, "BROADCAST_BYTES", 0)
+    rows = [("big", f"i{k:04d}") for k in range(2000)] + [(f"s{b}", f"i{k:04d}") for b in range(100) for k in (1, 5, b)]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    blocks = spark.createDataFrame([("big", b, 32, list(range(b * 64, b * 64 + 62))) for b in range(32)], "basket string, block int, blocks int, items array<int>")
+    t = pairs.tiles(blocks).selectExpr("size(items) * greatest(size(others), 31) n").collect()
+    assert len(t) == 32 * 33 // 2 and max(r.n for r in t) <= 0.004 * sum(r.n for r in t)
+    got = pairs.pair_counts(df, "basket", "item")
+    assert got.count() == 2000 * 1999 // 2
+    n = {(r.name_a, r.name_b): r.n_ab for r in got.where("n_ab > 1").collect()}
+    assert n["i0001", "i0005"] == 101 and n["i0001", "i0099"] == 2
+
+
+def test_one_record_with_most_rows(spark):
+    rows = [("huge", f"t{k % 3000}") for k in range(30_000)] + [(f"r{k}", f"t{k % 7}") for k in range(300)]
+    df = spark.createDataFrame(rows, "record string, term string")
+    n, total, largest = terms.record_sizes(df, "record")
+    assert (n, total, largest) == (301, 30_300, 30_000)
+    salts = terms.salts_for(total, largest, 200)
+    assert salts >= 200 * largest / total
+    parts = df.selectExpr(f"pmod(xxhash64(record, pmod(xxhash64(term), {salts})), 200) p").groupBy("p").count()
+    assert max(r["count"] for r in parts.collect()) <= 0.05 * total
+    got = {r.term: (r.occurrences, r.records) for r in terms.term_counts(df, "term", "record").collect()}
+    assert len(got) == 3000 and got["t0"] == (10 + 43, 1 + 43) and got["t2999"] == (10, 1)

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from florascope.llm.linking import fold, keys_of, link_names
+from florascope.llm import linking
+from florascope.llm.linking import BINOMIAL, Rules, fold, keys_of, link_names
 
 
 def distance(a, b):
@@ -42,7 +43,7 @@ def _check(spark, reference, typed, entry):
     if not _KNOWN:
         mark = next(m for m in test_spellings.pytestmark if m.name == "parametrize")
         names = [(a,) for a, _ in mark.args[1]]
-        _KNOWN.update({r.name: r.entry for r in link_names(spark.createDataFrame(names + names[:3] + [(None,)], "name string"), reference).collect()})
+        _KNOWN.update({r.name: r.entry for r in link_names(spark.createDataFrame(names + names[:3] + [(None,)], "name string"), reference, rules=BINOMIAL).collect()})
     assert _KNOWN[typed] == entry
 
 
@@ -64,13 +65,13 @@ def test_against_brute_force(spark, reference):
         typed.add("".join(s))
     keys = {n: fold(n).replace(" ", "") for n in [*LISTED, "Vautusus syntypa", "Gulseldru dumbu"]}
     entry = {n: i + 1 for i, n in enumerate(LISTED)} | {"Vautusus syntypa": 1, "Gulseldru dumbu": 2}
-    got = {r.name: r for r in link_names(spark.createDataFrame([(t,) for t in typed], "name string"), reference).collect()}
+    got = {r.name: r for r in link_names(spark.createDataFrame([(t,) for t in typed], "name string"), reference, rules=BINOMIAL).collect()}
     for t in typed:
-        best = min(distance(k, key) for k, kind in keys_of(t) if kind == "name" for key in keys.values())
+        best = min(distance(k, key) for k, kind in keys_of(t, BINOMIAL) if kind == "name" for key in keys.values())
         if best > 2:
             assert got[t].entry is None, t
         else:
-            near = {entry[n] for n, key in keys.items() if any(distance(k, key) == best for k, kind in keys_of(t) if kind == "name")}
+            near = {entry[n] for n, key in keys.items() if any(distance(k, key) == best for k, kind in keys_of(t, BINOMIAL) if kind == "name")}
             assert got[t].slips == best and got[t].entry in near, t
 
 
@@ -78,3 +79,18 @@ def test_empty(spark, reference):
     one = spark.createDataFrame([("Vautusus phaldymensis",)], "name string")
     assert link_names(one.limit(0), reference).count() == 0
     assert [r.entry for r in link_names(one, reference.limit(0)).collect()] == [None]
+
+
+def test_any_list(spark, monkeypatch):
+    """Names of any number of words, with words that the rules of scientific names drop; the same when nothing can be broadcast."""
+    listed = ["Big Red Pine", "senior software engineer", "New York City", "Paris", "Berlin", "species x near f", "São Paulo", "Москва"]
+    ref = spark.createDataFrame([(n, "name", i) for i, n in enumerate(listed)], "name string, kind string, entry long")
+    typed = {n: i for i, n in enumerate(listed)} | {"NEW YORK  CITY": 2, "new-york city": 2, "Senior Sofware Enginer": 1, "Sao Paulo": 6, "Berlim": 4, "Lisbon": None, "Porto Alegre": None}
+    df = spark.createDataFrame([(t,) for t in typed], "name string")
+    assert {r.name: r.entry for r in link_names(df, ref).collect()} == typed
+    rows = link_names(df, ref, min_jaccard=0.6).collect()
+    assert {r.name for r in rows if r.entry is not None} == {*listed, "NEW YORK  CITY", "new-york city", "Senior Sofware Enginer", "Sao Paulo"} and all(r.jaccard >= 0.6 for r in rows if r.entry is not None)
+    assert {r.name: r.entry for r in link_names(df, ref, rules=Rules(cut=frozenset({"near"}))).collect()}["species x near f"] is None
+    monkeypatch.setattr(linking, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linking, "broadcast_if_small", lambda df, rows, width: df)
+    assert {r.name: r.entry for r in link_names(df, ref).collect()} == typed
