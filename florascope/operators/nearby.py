@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, broadcast_if_small, stage
+from ..session import BROADCAST_BYTES, broadcast_if_small, spread, stage
 
 EARTH_M = 6_371_008.8
 #: A cell with more positions than this is split: its positions are spread over salts, those they meet are repeated.
 HOT_CELL = 2000
+#: Keys at one position before they are spread over salts, and parts of a cell's points where the cover can't be broadcast.
+HOT_SPOT, SALTS = 2000, 16
 #: Levels of the quadtree below a region's first cells, and the edges a border cell may hold before it is split further.
 DEPTH, FEW_EDGES = 6, 6
 
@@ -70,7 +72,14 @@ def near_pairs(points: DataFrame, key: str, lon: str, lat: str, metres: float) -
     met = probe.join(built, ["iy", "ix", "salt"]).where(close).select("x", "y", "x2", "y2").distinct()
     first = keyed.select("x", "y", F.col("k").alias("a"))
     second = keyed.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("b"))
-    pairs = met.join(first, ["x", "y"]).join(second, ["x2", "y2"]).where(F.col("a") != F.col("b"))
+    # A position shared by many keys is cut: the keys of the other side are spread over salts, each pair is made once.
+    crowd = stage(keyed.groupBy(F.col("x").alias("x2"), F.col("y").alias("y2")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_SPOT).select(
+        "x2", "y2", F.ceil(F.col("n") / HOT_SPOT).cast("int").alias("salts")), "crowd")
+    crowd = broadcast_if_small(crowd, crowd.count(), 32)
+    second = second.join(crowd, ["x2", "y2"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    asked = met.join(first, ["x", "y"]).join(crowd, ["x2", "y2"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    pairs = asked.join(second, ["x2", "y2", "salt"]).where(F.col("a") != F.col("b"))
     return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
@@ -139,7 +148,7 @@ def region_cover(regions: DataFrame, key: str, wkt: str) -> DataFrame:
             rows = [(lv, ix, iy, k, inner, e) for k, w in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for lv, ix, iy, inner, e in cover(rings_of(w))]
             yield pd.DataFrame(rows, columns=["level", "ix", "iy", "region", "interior", "edges"])
 
-    cells = regions.select(F.col(key).cast("string"), F.col(wkt)).dropna().mapInPandas(
+    cells = spread(regions.select(F.col(key).cast("string"), F.col(wkt)).dropna()).mapInPandas(
         run, "level int, ix long, iy long, region string, interior boolean, edges array<double>"
     )
     return cells.select(_code(F.col("level"), F.col("ix"), F.col("iy")).alias("cell"), "level", "region", "interior", "edges")
@@ -162,10 +171,15 @@ def containing_regions(points: DataFrame, lon: str, lat: str, regions: DataFrame
     codes = [_code(v, F.floor((x + 180) / (360 / 2**v)), F.floor((y + 90) / (360 / 2**v))) for v in levels]
     placed = points.where(fits).withColumn("_cell", F.explode(F.array(*codes)))
     cover_ = cells.select(F.col("cell").alias("_cell"), F.col("region").alias(region_col), F.col("interior").alias("_interior"), F.col("edges").alias("_edges"))
+    on = ["_cell"]
     if n * 64 + edges * 8 <= BROADCAST_BYTES:
-        cover_ = F.broadcast(cover_)
+        cover_ = broadcast_if_small(cover_, 1, n * 64 + edges * 8)
+    else:
+        on = ["_cell", "_salt"]
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in points.columns if c != "_salt"]), F.lit(SALTS)).cast("int"))
+        cover_ = cover_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     e = lambda i, k: F.element_at("_edges", i * 4 + k)
     crossed = lambda i: ((e(i, 2) > y) != (e(i, 4) > y)) & (x < (e(i, 3) - e(i, 1)) * (y - e(i, 2)) / (e(i, 4) - e(i, 2)) + e(i, 1))
     hits = F.size(F.filter(F.sequence(F.lit(0), (F.size("_edges") / 4).cast("int") - 1), lambda i: F.when((e(i, 2) > y) != (e(i, 4) > y), crossed(i)).otherwise(False)))
     # Interior cells accept at once; the edges of border cells alone are looked at.
-    return placed.join(cover_, "_cell").where(F.when(F.col("_interior"), True).otherwise(hits % 2 == 1)).drop("_cell", "_interior", "_edges")
+    return placed.join(cover_, on).where(F.when(F.col("_interior"), True).otherwise(hits % 2 == 1)).drop("_cell", "_salt", "_interior", "_edges")

@@ -163,3 +163,16 @@ def test_fill_held_out(spark):
         right = sum(got[r.env_id, "soil"].label == r.k for r in gone) / len(gone)
         print(f"{name}: {len(gone)} hidden, error {off:.0f} m, of the average {base:.0f} m, class right {right:.2f}")
         assert len(gone) > 10 and off < 0.8 * base and right > 0.2
+
+
+def test_one_position_with_many_keys(spark, monkeypatch):
+    """600 keys on one spot: every pair once, no task with more than a part of them; regions alike when the cover can't be broadcast."""
+    monkeypatch.setattr(nearby, "HOT_SPOT", 50)
+    rows = [(f"k{i:04d}", 90.0, 27.0) for i in range(600)] + [("far", 91.0, 27.0), ("beside", 90.0001, 27.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = nearby.near_pairs(df, "k", "x", "y", 50.0)
+    assert got.count() == 600 * 599 // 2 + 600 == got.distinct().count()
+    regions = spark.createDataFrame([("r", "POLYGON((89 26, 90.5 26, 90.5 28, 89 28, 89 26))"), ("q", "POLYGON((90.9 26, 92 26, 92 28, 90.9 28, 90.9 26))")], "id string, wkt string")
+    one = {(r.k, r.region) for r in nearby.containing_regions(df, "x", "y", regions, "id", "wkt").collect()}
+    monkeypatch.setattr(nearby, "BROADCAST_BYTES", 0)
+    assert one == {(r.k, r.region) for r in nearby.containing_regions(df, "x", "y", regions, "id", "wkt").collect()} and len(one) == 602
