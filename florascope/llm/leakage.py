@@ -60,12 +60,13 @@ def _longest(hit: Column) -> Column:
 
 
 def aligned_passages(
-    corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, gap: int = GAP
+    corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, gap: int = GAP, slack: int = 0
 ) -> DataFrame:
     """(doc, item, longest_run, aligned_words, near_run, near_words) of every alignment that two rare terms of a window give.
 
     longest_run and aligned_words count item words that stand exactly where the alignment expects them; near_run and near_words those
-    that stand at most gap places off; near_run is the most such words among any run + gap consecutive words of the item.
+    that stand at most gap places off; slack: places by which the second of the rare terms may be off (0 is enough for exact phrases: a
+    window that stands in the document has both at their places). near_run is the most such words among any run + gap consecutive words of the item.
     """
     docs = corpus.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     asked = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("words")).where("item is not null").where(
@@ -98,7 +99,7 @@ def aligned_passages(
         "doc", "item", "copy", F.col("t2").alias("term"), F.transform("at", lambda x: x - F.col("p1")).alias("d1"), "p2")
     met = hits.join(index, ["doc", "term"]).select(
         "doc", "item", "copy", F.explode(F.array_intersect("d1", F.flatten(F.transform(
-            F.sequence(F.lit(-gap), F.lit(gap)), lambda g: F.transform("at", lambda x: x - F.col("p2") + g))))).alias("delta")
+            F.sequence(F.lit(-slack), F.lit(slack)), lambda g: F.transform("at", lambda x: x - F.col("p2") + g))))).alias("delta")
     )
     met = stage(met.distinct(), "met")
     asking = met.select("doc").distinct()
@@ -139,6 +140,6 @@ def near_passages(
 ) -> DataFrame:
     """(doc_id, item_id, longest_run, near_run): documents without an exact phrase of run words, but with run words of an item,
     of any run + gap consecutive ones, at most gap places off."""
-    x = aligned_passages(corpus, doc_id, text, items, item_id, item_text, run, gap)
+    x = aligned_passages(corpus, doc_id, text, items, item_id, item_text, run, gap, gap)
     x = x.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("longest_run").alias("longest_run"), F.max("near_run").alias("near_run"))
     return x.where((F.col("longest_run") < run) & (F.col("near_run") >= run))
