@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -81,8 +82,16 @@ def hypergeom_upper(x: int, n: int, k: int, m: int) -> float:
 
 
 def _each(f):
+    """f on each distinct combination of a batch: ranks and counts take few values, so a batch of pixels asks for few tails."""
+
     def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if any(v is None or v != v for v in r) else float(f(*r)) for r in zip(*cols, strict=True)], dtype="float64")
+        x = np.stack([c.to_numpy("float64", na_value=np.nan) for c in cols], 1)
+        out = np.full(len(x), np.nan)
+        live = np.flatnonzero(~np.isnan(x).any(1))
+        if len(live):
+            once, at = np.unique(x[live], axis=0, return_inverse=True)
+            out[live] = np.array([f(*map(float, r)) for r in once])[at.ravel()]
+        return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Params
+from ..session import stage
 from .clean import to_number
 
 
@@ -62,6 +63,8 @@ def band_summary(df: DataFrame, value: str, params: Params = DEFAULTS) -> DataFr
 
 def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     """z_<column>: (x - mean) / sample deviation; 0 for all rows where the deviation is null or 0. The statistics are one row."""
+    # Read twice: for the statistics and for the rows.
+    df = stage(df, "scored")
     stats = df.agg(*[f(F.col(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     out = df.join(F.broadcast(stats))
 

@@ -96,3 +96,11 @@ def reproject(points: DataFrame, lon: str, lat: str, epsg: int) -> DataFrame:
         east, north = utm(F.col(lon), F.col(lat), epsg - 32600)
         return points.withColumns({"x": east, "y": north})
     raise ValueError(f"EPSG:{epsg} isn't supported")
+
+
+def with_fallback(vector: DataFrame, raster: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, source): the vector's value of each point; the raster's only if the vector gives none at all, to any point."""
+    known = vector.agg(F.count_if(F.col(value).isNotNull()).alias("_known"))
+    # One row: whether the vector knows anything.
+    x = vector.select(key, F.col(value).cast("string").alias("_v")).join(raster.select(key, F.col(value).cast("string").alias("_r")), key, "left").join(F.broadcast(known))
+    return x.select(key, F.when(F.col("_known") > 0, F.col("_v")).otherwise(F.col("_r")).alias(value), F.when(F.col("_known") > 0, "vector").otherwise("raster").alias("source"))

@@ -20,14 +20,18 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from graphlib import CycleError, TopologicalSorter
+from pathlib import Path
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULTS, Params
-from .operators import clean, distances, diversity, indicators, network, ordination, ranks, raster, replicates, stats, trend
+from .monitor import check_result, check_setup, check_table, module_logger, progress
+from .operators import clean, distances, diversity, indicators, network, ordination, ranks, raster, regions, replicates, stats, trend
 from .plans import views
 from .session import dense_ids
 from .session import stage as stage_table
@@ -91,12 +95,20 @@ def qc_cleaning(c: Context) -> dict[str, DataFrame]:
 
 
 def environment(c: Context) -> dict[str, DataFrame]:
-    return {"env_master": views.env(c.spark, c.source)}
+    """The plots' environment with the soil unit that holds each one or, outside all units, the nearest; a stored class only where the map knows none."""
+    e = stage_table(views.env(c.spark, c.source), "env")
+    soils = c.spark.read.parquet(f"{c.source}/soil_map_vector.parquet")
+    units = regions.nearest_regions(e.where(clean.valid_coordinates()), "plot_id", "longitude", "latitude", soils, "unit_id", "geometry_wkt", "unit_id")
+    vector = e.select("plot_id").join(units.join(soils.select("unit_id", "soil_type"), "unit_id").select("plot_id", "unit_id", "dist", "soil_type"), "plot_id", "left")
+    vector = stage_table(vector, "soils")
+    typed = c.spark.read.parquet(f"{c.source}/env_master_csv.parquet").where("plot_id is not null").groupBy("plot_id").agg(F.max_by("soil_type", "extracted_at").alias("soil_type"))
+    soil = regions.with_fallback(vector, typed, "plot_id", "soil_type").withColumnRenamed("source", "soil_source")
+    return {"env_master": e.join(soil, "plot_id", "left").join(vector.select("plot_id", F.col("unit_id").alias("soil_unit"), F.col("dist").alias("soil_distance")), "plot_id", "left")}
 
 
 def qc_environment(c: Context) -> dict[str, DataFrame]:
     e = c.table("02", "env_master")
-    cols = clean.numeric_columns(e, ("longitude", "latitude"))
+    cols = clean.numeric_columns(e, ("longitude", "latitude", "soil_distance"))
     return {"na_rates": clean.na_rates(e, cols), "outliers": clean.iqr_outliers(e, cols, c.params.iqr_multiplier), "collinear": clean.collinear_pairs(e, cols, c.params.correlation_flag)}
 
 
@@ -122,13 +134,43 @@ def _grouped_cells(c: Context, ids: DataFrame) -> tuple[DataFrame, list[str]]:
     return stage_table(cells, "cells"), [x.grp for x in ids.select("i", "grp").orderBy("i").collect()]
 
 
+#: Tables of stage 04 that need the plots' whole matrix, with the columns they have where it exceeds replicates.MATRIX_BYTES and they stay empty.
+_DENSE = {
+    "scores": "plot_id string, NMDS1 double, NMDS2 double, stress double, PCo1 double, PCo2 double", "permdisp": "f double, p double", "anosim": "r double, p double", "mantel": "r double, p double",
+}
+
+
+def _dense(c: Context, grouped: DataFrame) -> dict[str, DataFrame]:
+    """NMDS and PCoA scores joined to the environment, PERMDISP, ANOSIM and Mantel tests; grouped: (plot_id, grp) of plots with abundance."""
+    spark, n = c.spark, grouped.count()
+    if n < 4 or 2 * n * n * 8 > replicates.MATRIX_BYTES:
+        module_logger("04").warning("%d plots: no whole matrix; scores, permdisp, anosim and mantel stay empty", n)
+        return {name: spark.createDataFrame([], schema) for name, schema in _DENSE.items()}
+    e = grouped.join(c.table("02", "env_master").select("plot_id", "longitude", "latitude"), "plot_id", "left").orderBy("plot_id").toPandas()
+    ids, labels = e["plot_id"].tolist(), e["grp"].tolist()
+    m = replicates.distance_matrix(distances.bray_curtis(c.table("01", "abundance").join(grouped.select("plot_id"), "plot_id", "left_semi")), ids)
+    x, stress = ordination.nmds(spark, m, ids, 2, seed=c.params.seed)
+    deep, _ = ordination.pcoa(spark, m, ids, min(10, n - 1))
+    scores = x.withColumn("stress", F.lit(float(stress))).join(deep.select("plot_id", "PCo1", "PCo2"), "plot_id").join(c.table("02", "env_master"), "plot_id", "left")
+    placed = e[["longitude", "latitude"]].notna().all(axis=1).to_numpy()
+    km = distances.haversine_pairs(spark.createDataFrame(e.loc[placed, ["plot_id", "longitude", "latitude"]]), "plot_id", "longitude", "latitude")
+    coords = deep.orderBy("plot_id").toPandas().drop(columns="plot_id").to_numpy()
+    k, seed = c.params.permutations, c.params.seed
+    return {
+        "scores": scores, "permdisp": replicates.permdisp_test(spark, coords, labels, k, seed), "anosim": replicates.anosim_test(spark, m, labels, k, seed),
+        "mantel": replicates.mantel_test(spark, m[np.ix_(placed, placed)], replicates.distance_matrix(km, e.loc[placed, "plot_id"].tolist(), "km"), k, seed),
+    }
+
+
 def beta(c: Context) -> dict[str, DataFrame]:
     present = c.table("01", "abundance").where("abund > 0").select("plot_id").distinct()
-    cells, labels = _grouped_cells(c, _groups(c).join(present, "plot_id", "left_semi"))
+    grouped = _groups(c).join(present, "plot_id", "left_semi")
+    cells, labels = _grouped_cells(c, grouped)
     # Only pairs that share species are kept; the others are at distance 1.
     return {
         "bray_curtis": distances.bray_curtis(c.table("01", "abundance"), dense=False),
         "permanova": replicates.permanova_blocks(cells, labels, c.params.permutations, c.params.seed),
+        **_dense(c, grouped.where("grp is not null")),
     }
 
 
@@ -137,7 +179,7 @@ def _predictors(c: Context) -> tuple[DataFrame, list[str]]:
     north, east = clean.aspect_components(F.col("aspect"))
     plots = c.table("01", "abundance").where("abund > 0").select("plot_id").distinct()
     e = plots.join(c.table("02", "env_master"), "plot_id", "left").withColumns({"aspect_northness": north, "aspect_eastness": east})
-    every = clean.numeric_columns(e, ("longitude", "latitude", "aspect"))
+    every = clean.numeric_columns(e, ("longitude", "latitude", "aspect", "soil_distance"))
     usable = {x.variable for x in clean.usable_predictors(e, every).collect()}
     cols = [x for x in every if x in usable]
     return stage_table(clean.median_impute(e, cols).select("plot_id", *cols), "predictors"), cols
@@ -151,11 +193,13 @@ def ordinations(c: Context) -> dict[str, DataFrame]:
     species.columns = ["species_name", *[f"CCA{k + 1}" for k in range(species.shape[1] - 1)]]
     cells, ids = _cells(c, e)
     x = ids.orderBy("i").toPandas()[cols].to_numpy(float)
+    sites = stage_table(ordination.site_scores(e, cols, fit), "sites")
     groups: dict[str, list[str]] = {}
     for col in cols:
         groups.setdefault(next((g for g, words in c.params.variable_groups if any(w in col for w in words)), "other"), []).append(col)
     return {
-        "axes": c.spark.createDataFrame(rows, "axis int, eigenvalue double, pct_total double"), "sites": ordination.site_scores(e, cols, fit),
+        "axes": c.spark.createDataFrame(rows, "axis int, eigenvalue double, pct_total double"), "sites": sites,
+        "display": ordination.display_scaled(sites, [x for x in sites.columns if x.startswith("CCA")]),
         "species": c.spark.createDataFrame(species), "vif": ordination.vif(e, cols),
         "permutation": ordination.cca_test_cells(stage_table(cells, "cells"), x, c.params.permutations, seed=c.params.seed),
         "partition": ordination.variance_partition_cells(c.table("01", "abundance").where("abund > 0"), e, groups),
@@ -177,8 +221,12 @@ def cooccurrence(c: Context) -> dict[str, DataFrame]:
     rows, _ = dense_ids(p.select("plot_id").distinct(), "plot_id", "i")
     cols, _ = dense_ids(p.select("species_name").distinct(), "species_name", "j")
     t = p.join(rows, "plot_id").join(cols, "species_name").select("i", "j").orderBy("i", "j").toArrow()
+    nodes = stage_table(network.degrees(e).join(network.node_table(c.spark, e, c.params.seed).drop("degree"), "species_name"), "nodes")
+    summary = nodes.agg(F.count("*").alias("n_nodes"), F.count_distinct("community").alias("n_communities"), F.avg("degree").alias("mean_degree"), F.max("betweenness").alias("top_betweenness"))
+    # Two tables of one row.
+    summary = summary.join(F.broadcast(e.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))))
     return {
-        "edges": e, "nodes": network.degrees(e).join(network.node_table(c.spark, e, c.params.seed).drop("degree"), "species_name"),
+        "edges": e, "nodes": nodes, "hubs": network.hubs(nodes), "summary": summary.join(F.broadcast(network.modularity(e, nodes.select("species_name", "community")).withColumnRenamed("q", "modularity"))),
         "null_model": network.null_modularity_pairs(c.spark, t["i"].to_numpy(), t["j"].to_numpy(), c.params.min_species_occurrence, c.params.null_permutations, c.params.seed),
         "pairs": network.significant_pairs(p, c.params.significance),
     }
@@ -216,31 +264,59 @@ def index(c: Context) -> dict[str, DataFrame]:
     return {"sci": s, "groups": diversity.group_summary(s, "forest_type", "sci_index"), "sensitivity": _sensitivity(s, parts)}
 
 
+def _optional(c: Context, left: DataFrame, stage_id: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """left with columns of another stage's table by plot; as it is where that table is missing, or lacks the plot or a column."""
+    try:
+        right = c.table(stage_id, name)
+    except AnalysisException:
+        return left
+    if not {"plot_id", *columns} <= set(right.columns):
+        return left
+    return left.join(right.select("plot_id", *[F.col(a).alias(b) for a, b in columns.items()]), "plot_id", "left")
+
+
 def mapping(c: Context) -> dict[str, DataFrame]:
-    a = c.table("03", "alpha").join(c.table("09", "sci").select("plot_id", "sci_index"), "plot_id", "left")
-    return {"map_points": a.where(clean.valid_coordinates()).select("plot_id", "longitude", "latitude", "richness", "shannon", "simpson", "sci_index", "forest_type")}
+    a = c.table("03", "alpha").select("plot_id", "longitude", "latitude", "richness", "shannon", "simpson", "forest_type")
+    for stage_id, name, columns in (("09", "sci", {"sci_index": "sci_index"}), ("04", "scores", {"NMDS1": "nmds_axis"}), ("08", "trends", {"trend_class": "trend_class"})):
+        a = _optional(c, a, stage_id, name, columns)
+    points = stage_table(a.where(clean.valid_coordinates()), "map")
+    values = [x for x in points.columns if x not in ("plot_id", "longitude", "latitude", "forest_type", "trend_class")]
+    rows = [points.agg(F.lit(x).alias("value"), F.min(x).cast("double").alias("low"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).cast("double").alias("high")) for x in values]
+    return {"map_points": points, "ranges": reduce(DataFrame.unionByName, rows)}
 
 
 def reporting(c: Context) -> dict[str, DataFrame]:
     s = c.table("09", "sci")
     g = s.groupBy("forest_type").agg(F.count("*").alias("n_plots"), F.avg("richness").alias("mean_richness"), F.avg("shannon").alias("mean_shannon"), F.avg("sci_index").alias("mean_sci"))
-    return {"group_summary": g, "top20": c.table("06", "indval").orderBy("group", F.desc("stat"), "species_name").limit(20)}
+    g, top = stage_table(g, "groups"), stage_table(c.table("06", "indval").orderBy("group", F.desc("stat"), "species_name").limit(20), "top20")
+    line = lambda r: ", ".join(f"{k} {v:.4g}" if isinstance(v, float) else f"{k} {v}" for k, v in r.asDict().items())
+    read = lambda i, t, n=10: [line(r) for r in c.table(i, t).limit(n).collect()]
+    for stage_id, title, parts in (
+        ("04", "Beta diversity", {"permanova": read("04", "permanova"), "permdisp": read("04", "permdisp"), "anosim": read("04", "anosim"), "mantel": read("04", "mantel")}),
+        ("05", "Ordination", {"axes": read("05", "axes"), "axis tests": read("05", "permutation"), "partition": read("05", "partition", 20), "inflation": [line(r) for r in c.table("05", "vif").orderBy(F.desc("vif")).limit(10).collect()]}),
+        ("07", "Co-occurrence", {"network": read("07", "summary"), "null model": read("07", "null_model")}),
+        ("08", "Trends", {"areas": read("08", "areas"), "areas after correction": read("08", "areas_fdr")}),
+        ("11", "Groups", {"groups": [line(r) for r in g.orderBy("forest_type").collect()], "indicators": [line(r) for r in top.collect()]}),
+    ):
+        write_text(os.path.join(c.out, "reports", f"{stage_id}.txt"), title, {k: v or ["none"] for k, v in parts.items()})
+    write_json(os.path.join(c.out, "reports", "manifest.json"), {"reports": ["04", "05", "07", "08", "11"], "written": time.strftime("%Y-%m-%d %H:%M:%S")})
+    return {"group_summary": g, "top20": top}
 
 
 REGISTRY: dict[str, Stage] = {s.id: s for s in (
     Stage("00", "data_inspection", (), inspection, ("files",), ("veg_long_csv", "env_master_csv"), 0.1),
     Stage("01", "data_cleaning", ("00",), cleaning, ("veg_long", "abundance", "points"), ("veg_long_csv",), 2.0),
     Stage("01b", "qc_after_cleaning", ("01",), qc_cleaning, ("duplicates", "missing", "richness", "bbox"), (), 0.5),
-    Stage("02", "env_extraction", ("01",), environment, ("env_master",), ("env_master_csv",), 20.0),
+    Stage("02", "env_extraction", ("01",), environment, ("env_master",), ("env_master_csv", "soil_map_vector"), 20.0),
     Stage("02b", "qc_after_env_extraction", ("02",), qc_environment, ("na_rates", "outliers", "collinear"), (), 0.5),
     Stage("03", "alpha_diversity", ("02",), alpha, ("alpha", "bands", "kruskal", "dunn"), (), 1.5),
-    Stage("04", "beta_diversity", ("03",), beta, ("bray_curtis", "permanova"), (), 3.0),
-    Stage("05", "cca_ordination", ("02",), ordinations, ("axes", "sites", "species", "vif", "permutation", "partition"), (), 2.0),
+    Stage("04", "beta_diversity", ("03",), beta, ("bray_curtis", "permanova", *_DENSE), (), 3.0),
+    Stage("05", "cca_ordination", ("02",), ordinations, ("axes", "sites", "display", "species", "vif", "permutation", "partition"), (), 2.0),
     Stage("06", "indicator_species", ("03",), indicator, ("indval", "top"), (), 2.0),
-    Stage("07", "co_occurrence", ("03",), cooccurrence, ("edges", "nodes", "null_model", "pairs"), (), 2.0),
+    Stage("07", "co_occurrence", ("03",), cooccurrence, ("edges", "nodes", "hubs", "summary", "null_model", "pairs"), (), 2.0),
     Stage("08", "evi_spatial_analysis", ("03", "09"), trends, ("trends", "areas", "areas_fdr"), ("events",), 1.0),
     Stage("09", "sci_index", ("03",), index, ("sci", "groups", "sensitivity"), (), 1.0),
-    Stage("10", "spatial_mapping", ("03", "04", "08", "09"), mapping, ("map_points",), (), 5.0),
+    Stage("10", "spatial_mapping", ("03", "04", "08", "09"), mapping, ("map_points", "ranges"), (), 5.0),
     Stage("11", "reporting", ("03", "04", "05", "06", "07", "08", "09", "10"), reporting, ("group_summary", "top20"), (), 2.0),
 )}
 
@@ -299,9 +375,20 @@ def select(stages: list[str] | None = None, first: str | None = None, last: str
     return with_dependencies(ids, registry)
 
 
+@lru_cache(maxsize=1)
+def _package() -> str:
+    """Hash of the sources of everything that stages call."""
+    h, root = hashlib.sha256(), Path(__file__).parent
+    for f in sorted([root / "config.py", root / "session.py", *(p for d in ("functions", "operators", "plans", "sources") for p in (root / d).glob("*.py"))]):
+        h.update(f.read_bytes())
+    return h.hexdigest()
+
+
 def fingerprint(stage: Stage, c: Context, done: dict[str, str]) -> str:
-    """Hash of the stage's code, the parameters, the state of its input files and the fingerprints of the stages before it."""
+    """Hash of the stage's code and all the package's operators, the parameters, the state of its input files (path, size, time: their
+    contents may be terabytes) and the fingerprints of the stages before it."""
     h = hashlib.sha256(inspect.getsource(stage.run).encode())
+    h.update(_package().encode())
     h.update(json.dumps(dataclasses.asdict(c.params), sort_keys=True, default=str).encode())
     for r in file_inventory(c.spark, [f"{c.source}/{t}.parquet" for t in stage.inputs]).collect() if stage.inputs else []:
         h.update(repr(tuple(r)).encode())
@@ -310,18 +397,26 @@ def fingerprint(stage: Stage, c: Context, done: dict[str, str]) -> str:
     return h.hexdigest()
 
 
+#: Columns that tables of other stages and users rely on.
+CONTRACT: dict[tuple[str, str], tuple[str, ...]] = {
+    ("01", "veg_long"): ("plot_id", "species_name", "stratum", "abundance"), ("01", "abundance"): ("plot_id", "species_name", "abund"), ("02", "env_master"): ("plot_id", "longitude", "latitude", "elevation", "forest_type", "soil_type"),
+    ("03", "alpha"): ("plot_id", "richness", "shannon", "simpson"), ("04", "permanova"): ("f", "p"), ("05", "axes"): ("axis", "eigenvalue"), ("06", "indval"): ("species_name", "group", "stat", "p", "p_adj"),
+    ("07", "edges"): ("src", "dst", "weight"), ("07", "nodes"): ("species_name", "degree", "betweenness", "community"), ("08", "trends"): ("pixel", "slope", "p", "trend_class"), ("09", "sci"): ("plot_id", "sci_index"),
+    ("10", "map_points"): ("plot_id", "longitude", "latitude"), ("11", "group_summary"): ("forest_type", "n_plots"),
+}
+
+
 def validate(stage: Stage, c: Context) -> list[str]:
-    """What is wrong with the stage's tables: missing, or without columns; empty ones are named too."""
+    """What is wrong with the stage's tables: missing or empty ones, and columns of CONTRACT that they lack."""
     out = []
     for t in stage.tables:
         try:
             df = c.table(stage.id, t)
-            if not df.columns:
-                out.append(f"{t} has no columns")
-            elif not df.limit(1).count():
-                out.append(f"{t} is empty")
         except Exception as e:  # noqa: BLE001 - a table that can't be read is a finding, not a failure
             out.append(f"{t} can't be read: {type(e).__name__}")
+            continue
+        found = check_table(df, CONTRACT.get((stage.id, t), ())) if df.columns else ["no columns"]
+        out += [f"{t} is empty" if x.startswith("0 rows") else f"{t}: {x}" for x in found]
     return out
 
 
@@ -341,12 +436,14 @@ def run_stage(stage: Stage, c: Context, cache: dict[str, str] | None = None, don
         for name, df in stage.run(c).items():
             write_table(df, os.path.join(c.out, stage.id, name))
     except Exception as e:  # noqa: BLE001 - reported, and the run decides what follows
-        log.exception("stage %s failed", stage.id)
+        module_logger(stage.id).exception("stage %s failed", stage.name)
         return Result(stage.id, "failed", [], [f"{type(e).__name__}: {str(e)[:500]}"], time.time() - began)
     done[stage.id] = key
     if cache is not None:
         cache[stage.id] = key
-    return Result(stage.id, "ok", [f"{stage.id}/{t}" for t in stage.tables], validate(stage, c), time.time() - began)
+    result = Result(stage.id, "ok", [f"{stage.id}/{t}" for t in stage.tables], validate(stage, c), time.time() - began)
+    result.warnings += check_result(result)
+    return result
 
 
 def run(
@@ -375,7 +472,7 @@ def run(
             else:
                 ready.append(i)
         with ThreadPoolExecutor(max(1, min(workers, len(ready) or 1))) as pool:
-            for x in pool.map(lambda i: run_stage(registry[i], c, cache, done), ready):
+            for x in progress(pool.map(lambda i: run_stage(registry[i], c, cache, done), ready), len(ready), "level"):
                 results[x.id] = x
                 log.info("%s %s in %.1f s", x.id, x.status, x.seconds)
     if cache is not None:
@@ -429,6 +526,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--clear-cache", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--list", action="store_true")
+    p.add_argument("--check-setup", action="store_true")
     p.add_argument("--log-level", default="INFO")
     a = p.parse_args(args)
     logging.basicConfig(level=a.log_level, format="%(asctime)s %(levelname)s %(message)s")
@@ -439,6 +537,10 @@ def main(args: list[str] | None = None) -> int:
 
     c = Context(SparkSession.getActiveSession() or get_spark(), a.source, a.out)
     log.info("Spark %s", c.spark.version)
+    if a.check_setup:
+        said = check_setup(c.spark, a.source, sorted({t for s in REGISTRY.values() for t in s.inputs}))
+        print(json.dumps(said, indent=2))
+        return int(not said["ok"])
     if a.clear_cache:
         clear_cache(a.out)
     if a.dry_run:

@@ -232,6 +232,15 @@ def ols_richness_elevation(spark, d):
     return stats.ols(v.alpha_env(spark, d), "elevation", "richness").select("n", r("slope", 8), r("intercept"), r("r2", 8))
 
 
+@query(v.with_(v.V, v.AB, v.AL, v.E, v.AE) + """, X AS (SELECT richness::DOUBLE AS y, elevation AS x FROM AE WHERE richness IS NOT NULL AND elevation IS NOT NULL),
+O AS (SELECT count(*) AS n, covar_pop(y, x) / var_pop(x) AS b, avg(y) - covar_pop(y, x) / var_pop(x) * avg(x) AS a, avg(x) AS mx, var_pop(x) AS vx,
+  sqrt((1 - pow(covar_pop(y, x), 2) / (var_pop(x) * var_pop(y))) * var_pop(y) * count(*) / (count(*) - 2)) AS s FROM X)
+SELECT x, round(a + b * x, 6) AS fit, round(a + b * x - 1.96::DOUBLE * s * sqrt(1.0::DOUBLE / n + pow(x - mx, 2) / (vx * n)), 6) AS low, round(a + b * x + 1.96::DOUBLE * s * sqrt(1.0::DOUBLE / n + pow(x - mx, 2) / (vx * n)), 6) AS high
+FROM O, (SELECT unnest(range(0, 5001, 250))::DOUBLE AS x)""")
+def ols_band(spark, d):
+    return stats.ols_band(v.alpha_env(spark, d), "elevation", "richness", [float(x) for x in range(0, 5001, 250)]).select("x", r("fit"), r("low"), r("high"))
+
+
 # Beta diversity
 
 _BC = v.with_(v.V, v.AB, "X AS (SELECT * FROM AB WHERE abund > 0)", "T AS (SELECT plot_id, sum(abund) AS t FROM X GROUP BY 1)",
@@ -434,14 +443,23 @@ def hypergeom_inputs(spark, d):
     return network.hypergeometric(_frequent(spark, d)).drop("p")
 
 
-@query()
+_HYP = _NET + """, HI AS (SELECT SP.src, SP.dst, weight AS x, a.n AS k, b.n AS m, (SELECT count(DISTINCT plot_id) FROM FP) AS n FROM SP JOIN FS a ON a.species_name = src JOIN FS b ON b.species_name = dst),
+HD AS (SELECT x, k, m, n, least(1.0::DOUBLE, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(n - k + 1) - lgamma(m - i + 1) - lgamma(n - k - m + i + 1)
+  - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1)))) AS p FROM (SELECT *, unnest(range(greatest(x, k + m - n), least(k, m) + 1)) AS i FROM (SELECT DISTINCT x, k, m, n FROM HI)) GROUP BY 1, 2, 3, 4),
+HP AS (SELECT src, dst, x, p FROM HI JOIN HD USING (x, k, m, n))"""
+
+
+@query(_HYP + " SELECT src, dst, x, round(p, 6) AS p FROM HP")
 def hypergeom_tail(spark, d):
-    return network.hypergeometric(_frequent(spark, d)).select("src", "dst", "x", r("p", 10))
+    return network.hypergeometric(_frequent(spark, d)).select("src", "dst", "x", r("p", 6))
 
 
-@query()
+@query(_HYP + """, M AS (SELECT count(*) * (count(*) - 1) / 2 AS m FROM (SELECT DISTINCT species_name FROM FP)),
+RK AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + count(*) OVER (PARTITION BY round(p, 12)) - 1 AS rk FROM HP, M),
+AD AS (SELECT *, least(1.0::DOUBLE, min(p * m / rk) OVER (ORDER BY rk RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM RK)
+SELECT src, dst, x, round(p, 6) AS p, round(p_adj, 6) AS p_adj FROM AD WHERE p_adj <= 0.05""")
 def significant_pairs(spark, d):
-    return network.significant_pairs(_frequent(spark, d)).select("src", "dst", "x", r("p", 10), r("p_adj", 10))
+    return network.significant_pairs(_frequent(spark, d)).select("src", "dst", "x", r("p", 6), r("p_adj", 6))
 
 
 @query(_NET + """, L AS (SELECT species_name, substr(species_name, 1, 1) AS c FROM FS), X AS (SELECT a.c AS ca, b.c AS cb, weight FROM ED JOIN L a ON a.species_name = src JOIN L b ON b.species_name = dst),

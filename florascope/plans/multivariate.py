@@ -62,7 +62,7 @@ def nmds_2d(spark, d):
 @query
 def nmds_3d(spark, d):
     m, ids, _ = _dist(spark, d)
-    return ordination.nmds(spark, m, ids, 3, starts=8)[0]
+    return ordination.nmds(spark, m, ids, 3, starts=20)[0]
 
 
 @query
@@ -208,8 +208,3 @@ def kruskal_p(spark, d):
 @query
 def spearman_p(spark, d):
     return stats.spearman(v.alpha_env(spark, d), "richness", "elevation")
-
-
-@query
-def ols_band(spark, d):
-    return stats.ols_band(v.alpha_env(spark, d), "elevation", "richness", [float(x) for x in range(0, 5001, 250)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import community, landscape, multivariate, tables
+from . import community, files, landscape, multivariate, tables
 
-QUERIES: dict = {**tables.QUERIES, **community.QUERIES, **landscape.QUERIES, **multivariate.QUERIES}
-SQL: dict = {**tables.SQL, **community.SQL, **landscape.SQL}
+QUERIES: dict = {**tables.QUERIES, **community.QUERIES, **landscape.QUERIES, **multivariate.QUERIES, **files.QUERIES}
+SQL: dict = {**tables.SQL, **community.SQL, **landscape.SQL, **files.SQL}

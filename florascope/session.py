@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,13 +34,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders made here for local sessions without a setting, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset, a local one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without: it gets one of its own.
+
+    The setting is static, so it is read and never set; a cluster without it raises, as no other folder is known to be shared.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), f"florascope-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="florascope-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId][7:], True)
+    return _OWN[sc.applicationId]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from florascope import pipeline as p
@@ -32,3 +34,19 @@ def test_stages_give_their_products(ran):
     assert ran.table("08", "areas_fdr").count() == 4
     s = ran.table("09", "sensitivity").collect()
     assert len(s) >= 3 and all(r.interpretation for r in s if r.rho is not None)
+
+
+def test_dense_products_soils_maps_and_reports(ran):
+    scores = ran.table("04", "scores")
+    assert scores.count() > 10 and {"NMDS1", "NMDS2", "stress", "PCo1", "elevation", "soil_type"} <= set(scores.columns)
+    assert all(0 < ran.table("04", t).first().p <= 1 for t in ("permdisp", "anosim", "mantel"))
+    e = ran.table("02", "env_master")
+    assert e.where("longitude between 88.7 and 92.2 and latitude between 26.7 and 28.4 and (soil_unit is null or soil_type is null)").count() == 0
+    top = ran.table("05", "display").selectExpr("max(greatest(abs(CCA1), abs(CCA2))) m").first().m
+    assert abs(top - 1) < 1e-9
+    n, hubs = ran.table("07", "nodes"), ran.table("07", "hubs")
+    assert 15 <= hubs.count() <= n.count() and ran.table("07", "summary").first().n_nodes == n.count()
+    m = ran.table("10", "map_points")
+    assert {"sci_index", "nmds_axis"} <= set(m.columns) and ran.table("10", "ranges").where("low <= median and median <= high").count() >= 4
+    assert all((Path(ran.out) / "reports" / f"{i}.txt").stat().st_size > 50 for i in ("04", "05", "07", "08", "11"))
+    assert p.validate(p.REGISTRY["09"], ran) == []
