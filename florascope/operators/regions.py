@@ -98,6 +98,23 @@ def reproject(points: DataFrame, lon: str, lat: str, epsg: int) -> DataFrame:
     raise ValueError(f"EPSG:{epsg} isn't supported")
 
 
+def reproject_regions(regions: DataFrame, wkt: str, epsg: int) -> DataFrame:
+    """regions with the coordinates of their texts (longitude latitude) in the given system; its values are those of reproject().
+
+    The points of all texts go through one distributed projection and are put together again in their places. Null texts stay null.
+    """
+    number = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+    x = regions.withColumn("_id", F.xxhash64(wkt))
+    pairs = F.regexp_extract_all(wkt, F.lit(f"({number}\\s+{number})"), F.lit(1))
+    points = x.select("_id", wkt).distinct().select("_id", F.posexplode(pairs).alias("_k", "_xy"))
+    xy = F.split("_xy", r"\s+")
+    points = reproject(points.select("_id", "_k", xy[0].cast("double").alias("lon"), xy[1].cast("double").alias("lat")), "lon", "lat", epsg)
+    made = points.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_k", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("t")))).alias("_new"))
+    between = F.split(wkt, f"{number}\\s+{number}")
+    text = F.array_join(F.zip_with(between, F.col("_new.t"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return x.join(made, "_id", "left").withColumn(wkt, F.when(F.col("_new").isNull(), F.col(wkt)).otherwise(text)).drop("_id", "_new")
+
+
 def with_fallback(vector: DataFrame, raster: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, source): the vector's value of each point; the raster's only if the vector gives none at all, to any point."""
     known = vector.agg(F.count_if(F.col(value).isNotNull()).alias("_known"))

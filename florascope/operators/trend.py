@@ -73,3 +73,13 @@ def trend_class(slope: Column, p: Column, sig: float = 0.05) -> Column:
 def pixel_class(slope: Column, p: Column, sig: float = 0.05) -> Column:
     """1, -1 or 0 for the map; a slope of exactly 0 with a small p stays null, as do missing values."""
     return F.when((p <= sig) & (slope > 0), 1).when((p <= sig) & (slope < 0), -1).when(p > sig, 0)
+
+
+def trend_rasters(slope: DataFrame, tau: DataFrame, p: DataFrame, n: int = 25) -> DataFrame:
+    """(row, col, slope, tau, p) of three rasters (row, col, value). Where the whole band of p-values is empty they come from tau over n years."""
+    on, real = ["row", "col"], lambda c: F.when(~F.isnan(c), F.col(c))
+    x = slope.withColumnRenamed("value", "slope").join(tau.withColumnRenamed("value", "tau"), on, "left").join(p.withColumnRenamed("value", "p"), on, "left")
+    x = x.withColumns({c: real(c) for c in ("slope", "tau", "p")})
+    if p.where("value is not null and not isnan(value)").limit(1).count():
+        return x.select(*on, "slope", "tau", "p")
+    return x.select(*on, "slope", "tau", mk_p(F.col("tau"), n).alias("p"))

@@ -129,11 +129,20 @@ def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, Affine]:
     return _files(spark, path).select("content").mapInPandas(run, "band int, row long, col long, value double"), grid
 
 
-def discover_rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, variable) of the files bio<number>.tif of a folder; contents aren't read."""
-    f = _files(spark, folder, "*.tif").select("path")
-    n = F.regexp_extract(F.lower(F.element_at(F.split("path", "/"), -1)), r"bio_?(\d+)", 1)
-    return f.where(n != "").select("path", F.concat(F.lit("bio"), n.cast("int")).alias("variable"))
+def discover_rasters(spark: SparkSession, folder: str, fallback: dict[str, str] | None = None) -> DataFrame:
+    """(path, variable) of the files bio<number>.tif of a folder; contents aren't read.
+
+    fallback: paths by variable, used where the folder is missing or holds no such file; those that don't exist are left out.
+    """
+    schema = "path string, variable string"
+    found = spark.createDataFrame([], schema)
+    if exists(spark, folder):
+        f = _files(spark, folder, "*.tif").select("path")
+        n = F.regexp_extract(F.lower(F.element_at(F.split("path", "/"), -1)), r"bio_?(\d+)", 1)
+        found = f.where(n != "").select("path", F.concat(F.lit("bio"), n.cast("int")).alias("variable"))
+    if fallback and not found.limit(1).count():
+        return spark.createDataFrame([(p, v) for v, p in fallback.items() if exists(spark, p)], schema)
+    return found
 
 
 def country_series(df: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from florascope import monitor
-from florascope.operators import network, ordination, regions
+from florascope.operators import network, ordination, regions, trend
 from florascope.pipeline import Result
+from florascope.sources import readers
 
 
 def test_profiler_and_bottlenecks():
@@ -63,3 +64,28 @@ def test_fallback_display_and_hubs(spark):
     assert sorted(map(tuple, ordination.display_scaled(x, ["a", "b"], 0.85).collect())) == [pytest.approx((0.2125, -0.85)), pytest.approx((0.425, 0.0))]
     n = spark.createDataFrame([(f"s{i}", float(i // 2)) for i in range(10)], "species_name string, betweenness double")
     assert {r.species_name for r in network.hubs(n, 3).collect()} == {"s9", "s8", "s7", "s6"}
+
+
+def test_trend_rasters_and_layers(spark, tmp_path):
+    make = lambda v: spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "row long, col long, value double")
+    slope, tau = make([0.1, -0.2, float("nan")]), make([0.8, -0.1, 0.0])
+    given = {r.col: r for r in trend.trend_rasters(slope, tau, make([0.03, None, 0.5])).collect()}
+    assert given[0].p == 0.03 and given[1].p is None and given[2].slope is None
+    made = {r.col: r.p for r in trend.trend_rasters(slope, tau, make([None, float("nan"), None])).collect()}
+    assert made[0] < 1e-6 and 0.4 < made[1] < 0.6 and made[2] == 1.0
+    (tmp_path / "a.tif").write_bytes(b"x")
+    layers = readers.discover_rasters(spark, str(tmp_path), {"bio1": str(tmp_path / "a.tif"), "bio2": str(tmp_path / "none.tif")}).collect()
+    assert [r.variable for r in layers] == ["bio1"]
+    (tmp_path / "bio_12.tif").write_bytes(b"x")
+    assert [r.variable for r in readers.discover_rasters(spark, str(tmp_path), {"bio1": "x"}).collect()] == ["bio12"]
+    assert readers.discover_rasters(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_reproject_regions(spark):
+    wkt = "MULTIPOLYGON (((90 27, 90.5 27, 90.5 27.5, 90 27)), ((91 27, 91.5 27.25, 91 27)))"
+    df = spark.createDataFrame([(1, wkt), (2, None)], "id int, wkt string")
+    got = {r.id: r.wkt for r in regions.reproject_regions(df, "wkt", 32646).collect()}
+    points = spark.createDataFrame([(90.0, 27.0), (91.5, 27.25)], "lon double, lat double")
+    want = [f"{r.x} {r.y}" for r in regions.reproject(points, "lon", "lat", 32646).collect()]
+    assert got[2] is None and got[1].startswith(f"MULTIPOLYGON ((({want[0]}, ") and f"{want[1]}, " in got[1] and got[1].endswith(")))")
+    assert regions.reproject_regions(df, "wkt", 4326).where("id = 1").first().wkt == "MULTIPOLYGON (((90.0 27.0, 90.5 27.0, 90.5 27.5, 90.0 27.0)), ((91.0 27.0, 91.5 27.25, 91.0 27.0)))"
