@@ -119,7 +119,10 @@ _TRAINED: dict[tuple, DataFrame] = {}
 
 
 def train(df: DataFrame, text_col: str, names: DataFrame | None = None, steps: int = STEPS) -> Model | None:
-    """A tagger fitted on the bounded sample of df; None if there is no text. names: (given, family), of which TRAIN_NAMES are used."""
+    """A tagger fitted on the bounded sample of df; None if there is no text. names: (given, family), of which TRAIN_NAMES are used.
+
+    Within a session the same plan over the same files is trained on once; a table rewritten under its old path isn't read again.
+    """
     key = (df.sparkSession.sparkContext.applicationId, df.select(text_col).semanticHash(), names is not None and names.semanticHash(), steps)
     if key not in _TRAINED:
         weights = _fit(df, text_col, names, steps)
