@@ -4,7 +4,7 @@ A bidirectional LSTM with CRF transitions reads the text in overlapping windows;
 each character, and the decoded spans are the items. A check follows that can only bring a span to whole words and to the borders of
 the written form lying over most of it, or drop what can't be of its kind (pii_forms.check). A second decoding that lowers the
 score of 'outside' by LENIENT gives doubtful spans; one of them counts only if it is exactly what its form and the words beside it,
-or the list of names, make an item (pii_forms.label_spans).
+or the list of names, make an item (pii_forms.confirmed).
 
 Only stretches that could hold an item are read by the network: around an at sign, around five digits or more, around a number beside
 a capitalised word, around two capitalised words. No item of the five kinds does without one of these.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, stage
-from .pii_forms import Names, check, expand, label_spans
+from .pii_forms import Names, check, confirmed, expand, label_spans
 from .pii_synth import Maker
 from .tagger import KINDS, OVERLAP, WINDOW, Tagger, encode, reconcile, spans, windows
 
@@ -208,8 +208,7 @@ def checked(text: str, strict: Spans, lenient: Spans = (), names: Names | None =
     out = {(*at, kind) for a, b, kind in strict if (at := check(text, a, b, kind, names))}
     for a, b, kind in lenient:
         if (a, b, kind) not in out and (at := check(text, a, b, kind, names)) and not any(x < at[1] and at[0] < y for x, y, _ in out):
-            lo = max(0, at[0] - 64)
-            if (at[0] - lo, at[1] - lo, kind) in label_spans(text[lo : at[1] + 16], names or Names())[0]:
+            if confirmed(text, *at, kind, names or Names()):
                 out.add((*at, kind))
     kept: Spans = []
     for x in sorted(out, key=lambda x: (x[0], -x[1])):

@@ -195,3 +195,26 @@ def check(text: str, a: int, b: int, kind: str, names: Names | None = None) -> t
     if kind in ("phone", "id") and digits(text[best[0] : best[1]]) < 5:
         return None
     return best
+
+
+def confirmed(text: str, a: int, b: int, kind: str, names: Names) -> bool:
+    """Whether label_spans would give exactly this span: by its form, what stands right before it, or the list of names.
+
+    Only the span and what is beside it are looked at.
+    """
+    if kind in ("email", "address"):
+        return FORMS[kind].fullmatch(text, a, b) is not None
+    if kind == "name":
+        lo = max(0, a - 64)
+        return (a - lo, b - lo) in name_spans(text[lo : b + 16], names)[0]
+    if digits(text[a:b]) < 6:
+        return False
+    before = text[max(0, a - 32) : a]
+    if kind == "phone":
+        return text[a] == "+" or _PHONE_BEFORE.search(before) is not None
+    if _ID_BEFORE.search(before):
+        return True
+    if text[a - 1 : a] != "(" or text[b : b + 1] != ")":
+        return False
+    lo = max(0, a - 64)
+    return any(y == a - 2 - lo for _, y in name_spans(text[lo : a - 1], names)[0])
