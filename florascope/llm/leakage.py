@@ -110,7 +110,8 @@ def aligned_passages(
     lo = F.greatest(F.col("delta") - gap, F.lit(0))
     x = met.join(w, ["item", "copy"]).join(texts, "doc").select(
         "doc", "item", F.col("words").alias("iw"), (lo - F.col("delta")).alias("skip"),
-        F.slice("dw", lo + 1, F.greatest(F.size("words") + F.col("delta") + gap - lo, F.lit(0))).alias("dw"))
+        # A generator, so that the part is cut once a row and not again for each word it is compared with.
+        F.explode(F.array(F.slice("dw", lo + 1, F.greatest(F.size("words") + F.col("delta") + gap - lo, F.lit(0))))).alias("dw"))
     at = lambda i, g: F.coalesce(F.get("dw", i - F.col("skip") + g), F.lit(""))
     near = lambda word, i: F.exists(F.sequence(F.lit(-gap), F.lit(gap)), lambda g: at(i, g) == word)
     x = x.select(
