@@ -41,3 +41,13 @@ def test_plots_are_the_units(spark):
     assert q("permanova_p").first().observed == pytest.approx(q("permanova_f").first().f, abs=1e-5)
     assert q("anosim_p").first().observed == pytest.approx(q("anosim_r").first().r, abs=1e-5)
     assert q("mantel_p").first().observed == pytest.approx(abs(q("mantel_r").first().r), abs=1e-5)
+
+
+def test_permanova_and_mantel_shuffle_no_pairs(spark, monkeypatch):
+    monkeypatch.delattr(registry.community.distances, "bray_curtis")
+    monkeypatch.delattr(registry.community.distances, "haversine_pairs")
+    want = {"permanova_f": ("f", "n", "k"), "permanova_r2": ("r2",), "mantel_r": ("r", "n_pairs")}
+    rows = {n: registry.QUERIES[n](spark, SF).collect() for n in want}
+    assert all(len(x) == 1 and x[0].__fields__ == list(want[n]) for n, x in rows.items())
+    f, n, k = rows["permanova_f"][0]
+    assert rows["permanova_r2"][0].r2 == pytest.approx(f * (k - 1) / (f * (k - 1) + n - k), abs=1e-6)
