@@ -37,7 +37,7 @@ def test_anosim_without_the_matrix(spark, monkeypatch):
     assert replicates.anosim_blocks(cells, ["u"] * 40, 9).first().p is None
 
 
-@pytest.mark.parametrize("name", [])
+@pytest.mark.parametrize("name", ["anosim_p"])
 def test_queries_hold_no_matrix(spark, monkeypatch, name):
     def no(*_):
         raise AssertionError("a whole matrix")
