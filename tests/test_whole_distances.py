@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from florascope.operators import distances, replicates
+from florascope.operators import distances, ordination, replicates
 from florascope.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,30 @@ def test_anosim_without_the_matrix(spark, monkeypatch):
     assert replicates.anosim_blocks(cells, ["u"] * 40, 9).first().p is None
 
 
-@pytest.mark.parametrize("name", ["anosim_p"])
+def test_mantel_without_matrices(spark, monkeypatch):
+    d, cells, _ = _table(spark)
+    rng = np.random.default_rng(9)
+    lon, lat = 89 + 3 * rng.random(40), 27 + rng.random(40)
+    lon[7], lat[7] = lon[3], lat[3]
+    x, y = np.radians(lon), np.radians(lat)
+    km = 2 * np.arcsin(np.sqrt(np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2))
+    want = replicates.mantel_test(spark, d, km, 99).first()
+    assert tuple(replicates.mantel_p_blocks(cells, lon, lat, 99).first()) == pytest.approx(tuple(want))
+
+
+def test_coordinates_without_the_matrix(spark, monkeypatch):
+    d, cells, _ = _table(spark)
+    want = ordination.pcoa(spark, d, list(range(40)), 5)[0].orderBy("plot_id").toPandas().drop(columns="plot_id").to_numpy()
+    assert np.allclose(ordination.pcoa_cells(cells, 40, 5), want, atol=1e-6)
+    a = np.random.default_rng(10).normal(size=(300, 300))
+    a = a + a.T
+    monkeypatch.setattr(ordination, "MATRIX_BYTES", 0)
+    w, v = ordination.top_eigenpairs(lambda x: a @ x, 300, 4)
+    top = np.linalg.eigvalsh(a)[::-1][:4]
+    assert np.allclose(w, top) and np.abs(a @ v - v * w).max() < 1e-6
+
+
+@pytest.mark.parametrize("name", ["anosim_p", "mantel_p", "permdisp"])
 def test_queries_hold_no_matrix(spark, monkeypatch, name):
     def no(*_):
         raise AssertionError("a whole matrix")
