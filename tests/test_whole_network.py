@@ -59,3 +59,54 @@ def test_tails_of_many_at_once():
     got = special.hypergeom_tails(x, n, k, m, special.log_factorials(n))
     want = [special.hypergeom_upper(*map(int, r)) for r in zip(x, [n] * 400, k, m, strict=True)]
     assert np.allclose(got, want, rtol=1e-7, atol=1e-12)
+
+
+def _graph(seed=11, n=60):
+    m = np.random.default_rng(seed).random((25, n)) < np.linspace(0.02, 0.5, n)
+    m[0] = True
+    return network.pairs_graph(*np.nonzero(m), 2), m
+
+
+def test_driver_makes_no_graph_for_the_null_model(spark, monkeypatch):
+    from pyspark import TaskContext
+
+    whole, (g, m) = network.pairs_graph, _graph()
+
+    def guarded(*x):
+        assert TaskContext.get() is not None, "a graph on the driver"
+        return whole(*x)
+
+    monkeypatch.setattr(network, "pairs_graph", guarded)
+    r = network.null_modularity_pairs(spark, *np.nonzero(m), 2, 5).first()
+    assert abs(r.q - network.graph_modularity(g, network.louvain(g))) < 1e-12
+
+
+def test_pairs_graph_in_any_blocks(monkeypatch):
+    _, m = _graph()
+    w = m.T.astype(int) @ m
+    for counts, pending in ((16 << 20, 1 << 20), (130, 7)):
+        monkeypatch.setattr(network, "COUNTS", counts)
+        monkeypatch.setattr(network, "PENDING", pending)
+        g = network.pairs_graph(*np.nonzero(m), 3)
+        assert [g[i] for i in range(60)] == [{j: w[i, j] for j in range(60) if j != i and w[i, j] >= 3} for i in range(60)]
+
+
+def test_paths_do_not_look_past_the_last_level(monkeypatch):
+    g, _ = _graph()
+    looked = []
+    neighbours = network._neighbours
+    monkeypatch.setattr(network, "_neighbours", lambda near, v, size: looked.append(int(size.sum())) or neighbours(near, v, size))
+    reach = network.component_sizes(g)
+    looked.clear()
+    got = sum(network.dependencies(g, s, int(reach[s])) for s in range(60))
+    assert sum(looked) < 60 * len(g.to) / 2
+    # By definition: shortest paths through v over all shortest paths.
+    a = np.array([[j in g[i] for j in range(60)] for i in range(60)])
+    dist, paths, walk = np.where(np.eye(60), 0.0, np.inf), np.eye(60), np.eye(60)
+    for d in range(1, 60):
+        walk = walk @ a
+        new = np.isinf(dist) & (walk > 0)
+        dist[new], paths[new] = d, walk[new]
+    on = [sum(paths[s, v] * paths[v, t] / paths[s, t] for s in range(60) for t in range(60)
+              if len({s, v, t}) == 3 and np.isfinite(dist[s, t]) and dist[s, v] + dist[v, t] == dist[s, t]) for v in range(60)]
+    assert np.allclose(got, on)
