@@ -72,3 +72,20 @@ def test_queries_hold_no_matrix(spark, monkeypatch, name):
 def test_anosim_r_shuffles_no_pairs(spark, monkeypatch):
     monkeypatch.delattr(registry.community.distances, "bray_curtis")
     assert registry.QUERIES["anosim_r"](spark, SF).first().n_pairs > 0
+
+
+@pytest.mark.parametrize(("name", "made"), [("bray_curtis", "bray_curtis"), ("haversine_km", "haversine_pairs")])
+def test_all_pairs_join_none(spark, monkeypatch, name, made):
+    monkeypatch.delattr(registry.community.distances, made)
+    rows = registry.QUERIES[name](spark, SF)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    ids = rows.select("id_a", "id_b").collect()
+    assert len(ids) == len(set(ids)) and all(a < b for a, b in ids)
+    n = len({x for r in ids for x in r})
+    assert len(ids) == n * (n - 1) // 2
+
+
+def test_half_up_as_spark_rounds(spark):
+    x = np.concatenate([np.arange(2000) / 1280 + 1e-7 * 5, 1 - 2 * np.arange(640) / 1280, np.random.default_rng(1).random(500)])
+    want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").selectExpr("i", "round(x, 6) AS r").orderBy("i").collect()
+    assert replicates.half_up(x, 6).tolist() == [r.r for r in want]
