@@ -60,6 +60,23 @@ def test_coordinates_without_the_matrix(spark, monkeypatch):
     assert np.allclose(w, top) and np.abs(a @ v - v * w).max() < 1e-6
 
 
+def test_metric_scaling_without_the_matrix(spark):
+    d, cells, _ = _table(spark)
+    for steps in (2, 6):
+        got, stress = ordination.metric_rows(cells, 40, 2, 2, steps)
+        want = min((ordination.smacof(d, 2, np.random.default_rng([42, a]), True, steps) for a in range(2)), key=lambda x: x[1])
+        assert stress == pytest.approx(want[1]) and np.allclose(got, want[0])
+
+
+def test_metric_scaling_above_the_matrix_limit(spark, monkeypatch):
+    steps = ordination.metric_rows
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 1000)
+    monkeypatch.setattr(replicates, "check_size", lambda *x: None)
+    monkeypatch.setattr(ordination, "metric_rows", lambda cells, m: steps(cells, m, steps=2))
+    rows = registry.QUERIES["pcoa_smacof"](spark, SF).collect()
+    assert rows and rows[0].pct_1 + rows[0].pct_2 == pytest.approx(100)
+
+
 @pytest.mark.parametrize("name", ["anosim_p", "mantel_p", "permdisp"])
 def test_queries_hold_no_matrix(spark, monkeypatch, name):
     def no(*_):
