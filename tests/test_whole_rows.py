@@ -33,3 +33,10 @@ def test_rows_hold_no_cells(spark, monkeypatch, whole):
 def test_permanova_of_any_number_of_cells(spark, monkeypatch):
     monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
     assert registry.QUERIES["permanova_f"](spark, SF).first().f > 0
+
+
+def test_bray_curtis_of_any_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
+    x = registry.QUERIES["bray_curtis"](spark, SF)
+    n = x.select("id_a").union(x.select("id_b")).distinct().count()
+    assert x.count() == n * (n - 1) // 2 > 0
