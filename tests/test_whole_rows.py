@@ -40,3 +40,9 @@ def test_bray_curtis_of_any_number_of_cells(spark, monkeypatch):
     x = registry.QUERIES["bray_curtis"](spark, SF)
     n = x.select("id_a").union(x.select("id_b")).distinct().count()
     assert x.count() == n * (n - 1) // 2 > 0
+
+
+def test_permanova_p_of_any_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
+    cells = _table(spark)[1]
+    assert 0 < replicates.permanova_blocks(cells, ["u"] * 20 + ["v"] * 30, 9).first().p <= 1
