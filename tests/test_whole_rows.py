@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from florascope.operators import replicates
+from florascope.operators import ordination, replicates
 from florascope.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,14 @@ def test_permanova_p_of_any_number_of_cells(spark, monkeypatch):
     monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
     cells = _table(spark)[1]
     assert 0 < replicates.permanova_blocks(cells, ["u"] * 20 + ["v"] * 30, 9).first().p <= 1
+
+
+def test_coordinates_of_any_number_of_cells(spark, monkeypatch):
+    """permdisp: no bound on the cells, and the disk doesn't hold the parts of all products."""
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
+    made, gone = [], []
+    stage, unstage = ordination.stage, ordination.unstage
+    monkeypatch.setattr(ordination, "stage", lambda df, name: made.append(name) or stage(df, name))
+    monkeypatch.setattr(ordination, "unstage", lambda *x: gone.extend(x) or unstage(*x))
+    assert ordination.pcoa_cells(_table(spark)[1], 50, 3).shape == (50, 3)
+    assert len(gone) == len(made) > 0
