@@ -57,3 +57,12 @@ def test_coordinates_of_any_number_of_cells(spark, monkeypatch):
     monkeypatch.setattr(ordination, "unstage", lambda *x: gone.extend(x) or unstage(*x))
     assert ordination.pcoa_cells(_table(spark)[1], 50, 3).shape == (50, 3)
     assert len(gone) == len(made) > 0
+
+
+def test_anosim_p_of_any_number_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "MATRIX_BYTES", 0)
+    d, cells = _table(spark)
+    labels = ["u"] * 20 + ["v"] * 30
+    got = tuple(replicates.anosim_blocks(cells, labels, 19).first())
+    monkeypatch.undo()
+    assert got == pytest.approx(tuple(replicates.anosim_test(spark, d.round(10), labels, 19).first()))
